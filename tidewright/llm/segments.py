@@ -66,11 +66,16 @@ def anchors(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.select("id", "text").mapInArrow(_anchor_lister(unit), "id long, anchor long")
 
 
+def _slot(anchor: np.ndarray, bits: int) -> np.ndarray:
+    """Anchors are least of many hashes and so crowd at zero; they are mixed anew."""
+    return (textkit.mix(anchor * _U(0x9FB21C651E98DF25)) >> _U(64 - bits)).astype(np.int64)
+
+
 def _bit_setter(bits: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(1 << bits, bool)
         for batch in batches:
-            marks[(batch.column(0).to_numpy().view(_U) >> _U(64 - bits)).astype(np.int64)] = True
+            marks[_slot(batch.column(0).to_numpy().view(_U), bits)] = True
         blocks = np.packbits(marks).reshape(FILTER_BLOCKS, -1)
         used = [i for i in range(FILTER_BLOCKS) if blocks[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
@@ -109,7 +114,7 @@ def _run_lister(unit: Unit, table):
                 values, at = _values(unit, data, offsets)
                 text, start, many, anchor, _ = textkit.chosen_runs(values, at, unit.window, unit.gram)
                 if table and len(anchor):
-                    slot = (anchor >> _U(64 - bits)).astype(np.int64)
+                    slot = _slot(anchor, bits)
                     kept = np.flatnonzero((marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
                     text, start, many, anchor = text[kept], start[kept], many[kept], anchor[kept]
                 begin = at[text] + start
