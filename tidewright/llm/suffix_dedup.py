@@ -23,7 +23,7 @@ from tidewright.llm.suffix_array import adjacent_prefixes, sort_suffixes
 
 LENGTH = 200
 GRAM = 64
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 2 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 

@@ -15,7 +15,7 @@ _U = np.uint64
 _MASK = (1 << 64) - 1
 _ROOTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
