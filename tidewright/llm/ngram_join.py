@@ -231,7 +231,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: st
     """Whole sets of the classes in ``members``, made again from their representatives' texts."""
     needed = stash(classes.select("sig", "rep").join(members, "sig"), "ngram-needed")
     reps = needed.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(reps, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(reps.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
     made = texts.select("t").mapInArrow(_set_maker(words), "sig binary, grams array<long>")
     return made.join(needed.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
 
