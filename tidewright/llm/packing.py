@@ -12,6 +12,7 @@ their places by their rank within their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,92 +27,121 @@ from tidewright.llm.cluster import ship, stash
 CAPACITY = 2048
 SALTS = 1024
 SEARCH_NODES = 400
-WORD_CACHE = 400_000
-SLICE_BYTES = 8 << 20
+WORD_CACHE = 600_000  # known words of a worker, 30 bytes or so each
+TEXT_BYTES = 4 << 20
+PARTS_AT_ONCE = 200_000
 
 _tokenizers: dict = {}
 
 
 class WordIds:
-    """Token ids of texts, a word at a time, with a bounded cache.
+    """Token ids of texts, a word at a time, with a bounded table of known words.
 
-    Exact for tokenizers that drop white space before they merge: no token and
-    no normalisation step crosses an ASCII space, so the ids of a text are those
-    of its space-separated words in order.
+    For tokenizers that lower the case, drop white space before they merge and
+    split runs of letters from punctuation, as word_bpe_49k does: no token and no
+    normalisation step crosses an ASCII space or the place between an ASCII
+    letter and ASCII punctuation, so the ids of a text are those of its parts in
+    order.  Texts that may hold a special token are only split at spaces.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end_id``, and the offsets of the texts."""
-        words = pc.split_pattern(texts, " ")
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        coded = words.flatten().dictionary_encode()
-        known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        cache = self.cache
-        missing = [w for w in known if w not in cache]
-        if len(cache) + len(missing) > WORD_CACHE:
-            cache.clear()
-            missing = known
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32)
-        table = [cache[w] for w in known] + [np.array([end_id], np.uint32)]
-        lengths = np.array([len(x) for x in table], np.int64)
-        flat, starts = np.concatenate(table), np.cumsum(lengths) - lengths
-        # The end of a text is one more word of it.
-        full = np.full(len(codes) + len(texts), len(known), np.int64)
-        ends = offsets[1:] + np.arange(len(texts))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        flat, lengths = [self.flat], [self.lengths]
+        for at in range(0, len(words), 5_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, 5_000).to_pylist(), add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths[-1].sum())))
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all parts in the table of known words, and the texts' offsets in them."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z])([!-/:-@\[-`{-~])", replacement=r"\1 \2")
+        parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        del parts
+        known = coded.dictionary.cast(pa.large_string())
+        place = pc.fill_null(pc.index_in(known, value_set=self.words), -1).to_numpy().copy()
+        missing = np.flatnonzero(place < 0)
+        if len(missing) and len(self.words) + len(missing) > WORD_CACHE:
+            self._forget()
+            missing = np.arange(len(known))
+        if len(missing):
+            place[missing] = len(self.words) + np.arange(len(missing))
+            self._learn(known.take(pa.array(missing)))
+        return place[coded.indices.to_numpy()], offsets - offsets[0]
+
+    def ids(self, parts: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as parts, each text's followed by ``end_id``, and their offsets."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        ends = offsets[1:] + np.arange(len(offsets) - 1)
+        full = np.full(len(parts) + len(offsets) - 1, -1, np.int64)
         inner = np.ones(len(full), bool)
         inner[ends] = False
-        full[inner] = codes
-        n = lengths[full]
+        full[inner] = parts
+        n = np.where(inner, self.lengths[full] if len(self.lengths) else 1, 1)
         to = np.cumsum(n)
-        source = np.repeat(starts[full] - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)
-        return flat[source], np.concatenate([[0], to[ends]])
-
-
-def _slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(sizes), 0
-    while at < len(column):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield at, column.slice(at, to - at)
-        at = to
+        total = int(to[-1]) if len(to) else 0
+        first = np.where(inner, starts[full] if len(starts) else 0, len(self.flat))
+        source = np.repeat(first - (to - n), n) + np.arange(total)
+        return np.append(self.flat, np.uint32(end_id))[source], np.concatenate([[0], to[ends]])
 
 
 def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
-        ids_of = _tokenizers[path]
+        known = _tokenizers[path]
         for batch in batches:
             key = batch.column(0)
-            for at, texts in _slices(batch.column(1)):
-                ids, offsets = ids_of(pc.fill_null(texts, ""), end_id)
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i in range(len(texts)):
-                    a, b = int(offsets[i]), int(offsets[i + 1])
-                    for j, s in enumerate(range(a, b, capacity)):
-                        e = min(s + capacity, b)
-                        rows.append(at + i)
-                        piece.append(j)
-                        start.append(s - a)
-                        length.append(e - s)
-                        crc.append(zlib.crc32(ids[s:e].astype("<u4").tobytes()))
-                out = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(rows, pa.int64())), *out.values()], names=["id", *out])
+            for first, texts in _slices(pc.fill_null(batch.column(1), ""), TEXT_BYTES):
+                parts, at = known.split(texts)
+                lo = 0
+                while lo < len(texts):
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PARTS_AT_ONCE, side="right")) - 1)
+                    ids, offsets = known.ids(parts[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], end_id)
+                    yield _pieces(key, first + lo, ids, offsets, capacity)
+                    lo = hi
+                pa.default_memory_pool().release_unused()
 
     return cut
 
 
+def _pieces(key: pa.Array, first: int, ids: np.ndarray, offsets: np.ndarray, capacity: int) -> pa.RecordBatch:
+    sizes = np.diff(offsets)
+    many = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = piece * capacity
+    length = np.minimum(sizes[row] - start, capacity)
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    begin = (offsets[row] + start).tolist()
+    crc = [zlib.crc32(raw[4 * b : 4 * (b + n)]) for b, n in zip(begin, length.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([key.take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+
+
+def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def best_fit(counts: np.ndarray, room: int, most: int) -> list[tuple[int, int]]:
     """(length, count) pairs: the longest that fits, again and again."""
     out = []
