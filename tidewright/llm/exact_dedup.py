@@ -140,8 +140,8 @@ def _has_null(docs: DataFrame, id_col: str) -> bool:
 
 def _by_hash(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows told apart by id and text digest; the way for null and repeated ids."""
-    kept = verdict.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumns({"_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), "_rn": F.monotonically_increasing_id()})
-    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    first = Window.partitionBy("_sha", id_col).orderBy("_rn")
-    return found.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_sha", "_rn")
+    kept = verdict.filter("kept").select(F.col(id_col).alias("__tw_id"), F.col("text_sha256").alias("__tw_sha"))
+    marked = docs.withColumns({"__tw_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), "__tw_rn": F.monotonically_increasing_id()})
+    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__tw_id")) & (marked["__tw_sha"] == kept["__tw_sha"]), "left_semi")
+    first = Window.partitionBy("__tw_sha", id_col).orderBy("__tw_rn")
+    return found.withColumn("__tw_rn", F.row_number().over(first)).filter("__tw_rn = 1").drop("__tw_sha", "__tw_rn")

@@ -183,5 +183,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose id has only rejected rows; rows with a null id are judged together."""
-    verdict = classify(docs, labels, id_col, **options).groupBy(id_col).agg(F.bool_or("keep").alias("_keep")).filter("_keep").select(F.col(id_col).alias("_id"))
-    return docs.join(verdict, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    verdict = classify(docs, labels, id_col, **options).groupBy(id_col).agg(F.bool_or("keep").alias("__tw_keep")).filter("__tw_keep").select(F.col(id_col).alias("__tw_id"))
+    return docs.join(verdict, F.col(id_col).eqNullSafe(F.col("__tw_id")), "left_semi")

@@ -152,8 +152,9 @@ def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     unit = segments.Unit(words=True, window=window, gram=min(GRAM, max(1, window // 3)))
     rows = segments.keyed(docs, id_col, text_col)
-    cuts_at = sorted(set(rows.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
-    edges = [None, *(int(x) for x in cuts_at), None]
+    shares = [i / batches for i in range(1, batches)]
+    found_at = rows.agg(F.percentile_approx("id", shares, 100)).first()[0] if shares else None
+    edges = [None, *sorted(set(found_at or [])), None]
     index, found = FingerprintIndex(spark), []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = rows
