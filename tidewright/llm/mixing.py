@@ -2,8 +2,8 @@
 
 Each source's documents get rates min(limit, exp(lambda * size / mean size)):
 the rates nearest to one in relative entropy whose words meet the source's
-target.  lambda solves the convex dual; its Newton iterations run as grouped
-aggregations over (source, size) counts, safeguarded by a bracket.  Rates
+target.  lambda solves the convex dual; its Newton iterations are grouped
+aggregations over (source, size) counts, kept in a bracket.  Rates
 become whole copies: cells of equal source and size carry the words they
 over- or undershoot to the next smaller size, and within a cell the copies go
 to the documents first in a hash order.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.cluster import ship, stash
 
 LIMIT = 3
-ITERATIONS = 40
-ITERATIONS_PER_STASH = 8
+ITERATIONS = 60
+BROADCAST_SOURCES = 100_000
 TOLERANCE = 1e-9
 SALTS = 1024
 
@@ -68,27 +68,45 @@ def _copies(limit: int):
     return cells
 
 
-def entropy_rates(cells: DataFrame, targets: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(source, size, n, rate) from cell counts and (source, target, mean); sources may be null."""
-    state = targets.select("source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"))
+def _by_source(cells: DataFrame, planned: pd.DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Cells with per-source values; broadcast only while sources are few, a shuffled join otherwise."""
+    rows = list(planned[["source", *columns]].itertuples(index=False, name=None))
+    values = cells.sparkSession.createDataFrame(rows, ", ".join(["_s string", *(f"{c} {k}" for c, k in columns.items())]))
+    if len(rows) <= BROADCAST_SOURCES:
+        values = F.broadcast(values)
+    return cells.join(values, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def entropy_rates(cells: DataFrame, planned: pd.DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(source, size, n, rate) from cells (source, size, n) and one planned row per source: source, target, mean.
+
+    Every iteration is one grouped aggregation over all cells; what comes back
+    is a row for each source, its words under the present lambda and their slope.
+    """
+    state = planned.assign(lam=0.0, lo=-700.0, hi=700.0).set_index("source", drop=False)
+    keys = {None if pd.isna(s) else s: i for i, s in enumerate(state["source"])}
+    lam, lo, hi = (state[c].to_numpy(float).copy() for c in ("lam", "lo", "hi"))
+    target = state["target"].to_numpy(float)
     rate = F.least(F.lit(float(limit)), F.exp(F.least(F.lit(700.0), F.col("lam") * F.col("size") / F.col("mean"))))
-    pair = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    for i in range(1, ITERATIONS + 1):
-        tilted = pair(cells, state).withColumn("words", F.col("n") * F.col("size") * rate)
+    kinds = {"lam": "double", "mean": "double"}
+    for _ in range(ITERATIONS):
+        tilted = _by_source(cells, state.assign(lam=lam), kinds).withColumn("words", F.col("n") * F.col("size") * rate)
         slope = F.when(rate < limit, F.col("words") * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = tilted.groupBy("source").agg(F.sum("words").alias("have"), F.sum(slope).alias("slope"), F.first("target").alias("target"), F.first("mean").alias("mean"), *(F.first(c).alias(c) for c in ("lam", "lo", "hi")))
-        over = F.col("have") > F.col("target")
-        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") + (F.col("target") - F.col("have")) / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = F.when((step > lo) & (step < hi), step)
-        done = F.abs(F.col("have") - F.col("target")) <= F.lit(TOLERANCE) * F.col("target")
-        state = sums.select("source", "target", "mean", F.when(done, F.col("lam")).otherwise(F.coalesce(inside, (lo + hi) / 2)).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
-        if i % ITERATIONS_PER_STASH == 0:
-            state = stash(state, "mix-dual")
-            if state.filter("not done and hi - lo > 1e-12").isEmpty():
-                break
-        state = state.drop("done")
-    return pair(cells, state.select("source", "mean", "lam")).select("source", "size", "n", rate.alias("rate"))
+        moving = False
+        for r in tilted.groupBy("source").agg(F.sum("words").alias("have"), F.sum(slope).alias("slope")).collect():
+            i = keys[r["source"]]
+            if abs(r["have"] - target[i]) <= TOLERANCE * target[i] or hi[i] - lo[i] < 1e-12:
+                continue
+            moving = True
+            if r["have"] > target[i]:
+                hi[i] = lam[i]
+            else:
+                lo[i] = lam[i]
+            step = lam[i] + (target[i] - r["have"]) / r["slope"] if r["slope"] > 0 else lo[i]
+            lam[i] = step if lo[i] < step < hi[i] else (lo[i] + hi[i]) / 2
+        if not moving:
+            break
+    return _by_source(cells, state.assign(lam=lam), kinds).select("source", "size", "n", rate.alias("rate"))
 
 
 def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = LIMIT) -> DataFrame:
@@ -107,17 +125,14 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row per source: the capped shares need all of them together.
     planned = source_targets(totals.toPandas(), weights, limit)
     planned["mean"] = (planned["source_size"] / planned["n"]).clip(lower=1e-9)
-    targets = spark.createDataFrame(list(planned[["source", "source_size", "target", "mean"]].itertuples(index=False, name=None)), "source string, source_size long, target double, mean double")
-
-    rates = entropy_rates(cells.filter("size > 0"), targets, limit)
+    rates = entropy_rates(cells.filter("size > 0"), planned, limit)
     copies = rates.groupBy("source").applyInPandas(_copies(limit), "source string, size long, copies long")
-    plan = stash(
+    counted = (
         cells.alias("c")
         .join(copies.alias("k"), F.col("c.source").eqNullSafe(F.col("k.source")) & (F.col("c.size") == F.col("k.size")), "left")
-        .join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-        .select("c.source", "c.size", "c.n", F.coalesce("k.copies", "c.n").alias("cell_copies"), "t.source_size", "t.target"),
-        "mix-plan",
+        .select("c.source", "c.size", "c.n", F.coalesce("k.copies", "c.n").alias("cell_copies"))
     )
+    plan = stash(_by_source(counted, planned, {"source_size": "long", "target": "double"}), "mix-plan")
     # Ranks within a cell: first over salts, whose counts are few, then within a salt.
     salted = sized.withColumn("h", F.xxhash64("id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,6 +146,6 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def expand_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; ids are taken as unique."""
-    mixed = mix_to_targets(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    repeated = docs.join(mixed.groupBy("_id").agg(F.max("_copies").alias("_copies")), F.col(id_col).eqNullSafe(F.col("_id")))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(0))))).filter("_copies > 0").drop("_id", "_copies", "_copy")
+    mixed = mix_to_targets(docs, id_col, text_col, source_col, **options).select(F.col(id_col).alias("__tw_id"), F.col("copies").cast("int").alias("__tw_copies"))
+    repeated = docs.join(mixed.groupBy("__tw_id").agg(F.max("__tw_copies").alias("__tw_copies")), F.col(id_col).eqNullSafe(F.col("__tw_id")))
+    return repeated.withColumn("__tw_copy", F.explode(F.sequence(F.lit(1), F.greatest("__tw_copies", F.lit(0))))).filter("__tw_copies > 0").drop("__tw_id", "__tw_copies", "__tw_copy")

@@ -78,7 +78,7 @@ def _counter(n: int):
         for batch in batches:
             for _, data, offsets in textkit.text_slices(batch.column(0)):
                 grams, _ = gram_sets(data, offsets, n)
-                counts += np.bincount((grams >> _U(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, (grams >> _U(64 - COUNT_BITS)).astype(np.int64), np.int32(1))
         parts = counts.reshape(COUNT_BLOCKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "counts"])
 
@@ -231,7 +231,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: st
     """Whole sets of the classes in ``members``, made again from their representatives' texts."""
     needed = stash(classes.select("sig", "rep").join(members, "sig"), "ngram-needed")
     reps = needed.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(reps.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+    texts = docs.select(F.col(id_col).alias("__tw_id"), F.col(text_col).cast("string").alias("t")).join(reps.hint("shuffle_hash"), F.col("__tw_id").eqNullSafe(F.col("_rep")), "left_semi")
     made = texts.select("t").mapInArrow(_set_maker(words), "sig binary, grams array<long>")
     return made.join(needed.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
 
@@ -253,5 +253,5 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; documents without words all stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    stays = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__tw_id")).distinct()
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("__tw_id")), "left_semi")
