@@ -84,4 +84,4 @@ def risk_class(score: Column) -> Column:
 def py_round(x: Column, digits: int) -> Column:
     """Rounds the exact binary value, half to even, as Python's round does."""
     pattern = "0." + "0" * digits if digits else "0"
-    return F.when(finite(x), F.format_number(x, pattern).cast("double")).otherwise(x)
+    return F.when(finite(x), F.call_function("format_number", x, F.lit(pattern)).cast("double")).otherwise(x)
