@@ -73,15 +73,15 @@ def length(line: Column) -> Column:
     return F.aggregate(segments(line), F.lit(0.0), lambda s, e: s + distance(e["p"], e["q"]))
 
 
-def inside(p: Column, ring: Column) -> Column:
-    """Even-odd rule; points on the boundary may be on either side (see on_boundary)."""
+def inside(p: Column, ring: Column, sides: Column | None = None) -> Column:
+    """Even-odd rule; points on the boundary may be on either side.  ``sides`` are the ring's edges, if at hand."""
 
     def crosses(e: Column) -> Column:
         a, b = e["p"], e["q"]
         spans = (a["y"] > p["y"]) != (b["y"] > p["y"])
         return spans & (p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
 
-    return F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+    return F.size(F.filter(edges(ring) if sides is None else sides, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
 def segment_distance(p: Column, a: Column, b: Column) -> Column:
@@ -101,13 +101,14 @@ def contains(p: Column, ring: Column) -> Column:
     return inside(p, ring) & (ring_distance(p, ring) > 0)
 
 
-def clipped_length(a: Column, b: Column, ring: Column) -> Column:
+def clipped_length(a: Column, b: Column, ring: Column, sides: Column | None = None) -> Column:
     """Length of segment a-b inside a simple polygon, convex or not.
 
     The segment is cut where it crosses edges, and every part counts whose
     middle lies inside.
     """
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    sides = edges(ring) if sides is None else sides
 
     def crossing(e: Column) -> Column:
         ex, ey = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
@@ -116,11 +117,11 @@ def clipped_length(a: Column, b: Column, ring: Column) -> Column:
         t, u = (ox * ey - oy * ex) / F.nullif(cross, F.lit(0.0)), (ox * dy - oy * dx) / F.nullif(cross, F.lit(0.0))
         return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 
-    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(edges(ring), crossing), lambda t: t.isNotNull())))
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(sides, crossing), lambda t: t.isNotNull())))
     n = F.size(cuts)
     parts = F.zip_with(F.slice(cuts, 1, n - 1), F.slice(cuts, 2, n - 1), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
     middle = lambda x: point(a["x"] + dx * (x["s"] + x["t"]) / 2, a["y"] + dy * (x["s"] + x["t"]) / 2)
-    share = F.aggregate(parts, F.lit(0.0), lambda total, x: total + F.when(inside(middle(x), ring), x["t"] - x["s"]).otherwise(0.0))
+    share = F.aggregate(parts, F.lit(0.0), lambda total, x: total + F.when(inside(middle(x), ring, sides), x["t"] - x["s"]).otherwise(0.0))
     return share * F.sqrt(dx * dx + dy * dy)
 
 
