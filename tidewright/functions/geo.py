@@ -84,6 +84,14 @@ def inside(p: Column, ring: Column, sides: Column | None = None) -> Column:
     return F.size(F.filter(edges(ring) if sides is None else sides, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
+def is_box(ring: Column, sides: Column) -> Column:
+    """Whether the ring runs once around a rectangle with sides along the axes."""
+    straight = F.forall(sides, lambda e: (e["p"]["x"] == e["q"]["x"]) | (e["p"]["y"] == e["q"]["y"]))
+    corners = F.array_distinct(ring)
+    xs, ys = F.array_distinct(F.transform(ring, lambda p: p["x"])), F.array_distinct(F.transform(ring, lambda p: p["y"]))
+    return F.coalesce(straight & F.size(ring).isin(4, 5) & (F.size(corners) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2), F.lit(False))
+
+
 def segment_distance(p: Column, a: Column, b: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     square = dx * dx + dy * dy
