@@ -133,15 +133,16 @@ def repeats(rows: list[bytes], length: int) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def test_suffix_dedup(docs, empty, odd):
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("hot_kinds", [1, 2, 512])
+def test_suffix_dedup(docs, empty, odd, hot_kinds):
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, hot_kinds=hot_kinds).collect()}
     want = dict(zip(texts(), repeats([t.encode() for t in texts().values()], 200), strict=True))
     for i, (kept, removed, spans) in want.items():
         r = got[i]
         assert (bytes(r["kept"]), r["n_removed"], r["n_spans"], r["kept_sha256"]) == (kept, removed, spans, hashlib.sha256(kept).hexdigest())
     assert suffix_dedup.remove_repeats(empty).collect() == []
     rows = [(r["text"] or "").encode() for r in odd.collect()]
-    found = sorted((bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(odd).collect())
+    found = sorted((bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(odd, hot_kinds=hot_kinds).collect())
     assert found == sorted(repeats(rows, 200))
 
 
@@ -176,9 +177,9 @@ def seen_windows(rows: list[tuple], window: int) -> dict[int, tuple[int, int, st
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 6])
-def test_substring_index(docs, empty, odd, batches):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_index.remove_seen_windows(docs, batches=batches).collect()}
+@pytest.mark.parametrize(("batches", "hot_kinds"), [(1, 512), (6, 512), (3, 1), (1, 2)])
+def test_substring_index(docs, empty, odd, batches, hot_kinds):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_index.remove_seen_windows(docs, batches=batches, hot_kinds=hot_kinds).collect()}
     assert got == seen_windows(corpus(), 50)
     if batches == 1:
         assert substring_index.remove_seen_windows(empty).collect() == []

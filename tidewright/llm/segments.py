@@ -3,7 +3,9 @@
 Windows are runs of bytes or of words.  A run (textkit.chosen_runs) has an
 anchor hash that all copies of its windows share, so only anchors met twice
 need a closer look, and the runs of one anchor can be judged away from all
-others.  Runs with equal contents are one kind.
+others.  Runs with equal contents are one kind.  An anchor with very many kinds
+would be one task's work alone; its windows are judged one by one instead, each
+dealt by its own hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from tidewright.llm import textkit
 FILTER_BLOCKS = 32
 MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 27  # of slots, one bit each: 16 MiB at most
 
+#: Kinds of an anchor up to which its runs are judged together.
+HOT_KINDS = 512
+
 _U = np.uint64
 
 
@@ -142,7 +147,7 @@ def _slicer(unit: Unit):
                 if unit.words:
                     starts, ends, at = textkit.words(data, offsets)
                     starts, ends = starts.tolist(), ends.tolist()
-                out: dict[str, list] = {"anchor": [], "kind": [], "n": [], "weight": [], "first": [], "text": []}
+                out: dict[str, list] = {"anchor": [], "kind": [], "n": [], "weight": [], "first": [], "hot": [], "text": []}
                 for i in range(len(offsets) - 1):
                     for w in wanted[first + i]:
                         length = w["n"] + unit.window - 1
@@ -152,20 +157,41 @@ def _slicer(unit: Unit):
                         else:
                             a = int(offsets[i]) + w["start"]
                             text = raw[a : a + length]
-                        for name in ("anchor", "kind", "n", "weight", "first"):
+                        for name in ("anchor", "kind", "n", "weight", "first", "hot"):
                             out[name].append(w[name])
                         out["text"].append(text)
-                kinds = {"anchor": pa.int64(), "kind": pa.int64(), "n": pa.int32(), "weight": pa.int64(), "first": pa.int64(), "text": pa.binary()}
+                kinds = {"anchor": pa.int64(), "kind": pa.int64(), "n": pa.int32(), "weight": pa.int64(), "first": pa.int64(), "hot": pa.bool_(), "text": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
     return cut
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """(anchor, kind, n, weight, first, text) for ``wanted`` (key, start, n, anchor, kind, weight, first): a run's bytes, or its words joined by one space."""
-    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "kind", "weight", "first")).alias("wanted"))
+    """(anchor, kind, n, weight, first, hot, text) for ``wanted`` (key, start, n, anchor, kind, weight, first, hot): a run's bytes, or its words joined by one space."""
+    by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "kind", "weight", "first", "hot")).alias("wanted"))
     found = rows.select("key", "text").join(by_doc.hint("shuffle_hash"), "key").select("text", "wanted")
-    return found.mapInArrow(_slicer(unit), "anchor long, kind long, n int, weight long, first long, text binary")
+    return found.mapInArrow(_slicer(unit), "anchor long, kind long, n int, weight long, first long, hot boolean, text binary")
+
+
+def _window_hasher(unit: Unit):
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in textkit.text_slices(batch.column(4)):
+                values, at = _values(unit, data, offsets)
+                many = np.maximum(np.diff(at) - unit.window + 1, 0)
+                row = np.repeat(np.arange(len(many)), many)
+                i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                begin = at[row] + i
+                h = [pa.array(textkit.spans(values, begin, begin + unit.window, which).view(np.int64)) for which in (0, 1)]
+                whose = pa.array(first + row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(whose) for c in range(4)), pa.array(i.astype(np.int32)), *h], names=["anchor", "kind", "weight", "first", "i", "h0", "h1"])
+
+    return hashes
+
+
+def windows_of(texts: DataFrame, unit: Unit) -> DataFrame:
+    """(anchor, kind, weight, first, i, h0, h1) of every window of runs' ``texts``; equal windows, and they alone, have both hashes in common."""
+    return texts.select("anchor", "kind", "weight", "first", "text").mapInArrow(_window_hasher(unit), "anchor long, kind long, weight long, first long, i int, h0 long, h1 long")
 
 
 def by_anchor(texts: DataFrame, order: list[str], symbols_per_task: int, symbols: int) -> DataFrame:

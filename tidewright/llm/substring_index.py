@@ -5,7 +5,9 @@ fingerprint (the anchor hash of a run of windows) that say where the windows
 with it first occurred.  A batch of new documents becomes a run of its own; it
 is merge-joined with the older runs to find the fingerprints that were seen
 before, and every ``FAN_IN`` runs of a level are compacted into one of the
-next.  Windows under such fingerprints are then verified word by word.
+next.  Windows under such fingerprints are then verified word by word; those
+under a fingerprint with more than ``hot_kinds`` distinct runs are not brought
+together in one task, but found equal by two hashes of the whole window.
 """
 
 from __future__ import annotations
@@ -114,6 +116,13 @@ def _verifier(window: int):
     return verify
 
 
+def _first_sources(windows: DataFrame) -> DataFrame:
+    """(anchor, kind, spans) from (anchor, kind, first, i, h0, h1): for each window the smallest id that has it."""
+    least = windows.groupBy("h0", "h1").agg(F.min("first").alias("source"))
+    span = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "source")
+    return windows.join(least, ["h0", "h1"]).groupBy("anchor", "kind").agg(F.collect_set(span).alias("spans"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.column(2).to_pylist()
@@ -137,7 +146,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), *made.values()], names=["id", *made])
 
 
-def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, with_kept: bool = True) -> DataFrame:
+def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, with_kept: bool = True, hot_kinds: int = segments.HOT_KINDS) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (if asked for), kept_sha256.
 
     Words are runs of anything but ASCII white space, unchanged.  A word goes if
@@ -174,9 +183,15 @@ def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = history.join(many, "anchor")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("first.n").alias("b"), F.col("first.id").alias("source")))
     alone = split.filter("kinds = 1").select("anchor", "kind", whole.alias("spans"))
-    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", F.lit(1).cast("long").alias("weight"), F.col("first.id").alias("first")), "window-wanted")
-    size = wanted.agg(F.coalesce(F.sum(F.col("n") + (window - 1)), F.lit(0))).first()[0]
-    texts = segments.by_anchor(segments.texts_of(rows, wanted, unit), ["first", "kind"], TASK_SYMBOLS, size)
+    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", F.lit(1).cast("long").alias("weight"), F.col("first.id").alias("first"), (F.col("kinds") > hot_kinds).alias("hot")), "window-wanted")
+    size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (window - 1))), F.lit(0)), F.count_if("hot")).first()
+    texts = segments.texts_of(rows, wanted, unit)
+    if hot:
+        texts = stash(texts, "window-texts")
+        windows = stash(segments.windows_of(texts.filter("hot"), unit).drop("weight"), "window-hashes")
+        alone = alone.unionByName(_first_sources(windows))
+        texts = texts.filter("not hot")
+    texts = segments.by_anchor(texts, ["first", "kind"], TASK_SYMBOLS, size)
     verified = texts.mapInArrow(_verifier(window), "anchor long, kind long, spans array<struct<a:int,b:int,source:long>>")
     verified = verified.groupBy("anchor", "kind").agg(F.first("spans").alias("spans"))
     sources = stash(verified.unionByName(alone), "window-sources")

@@ -4,7 +4,9 @@ Candidate runs (segments) bring every copy of a window of ``length`` bytes to
 the task that owns its anchor.  There the distinct runs are joined into a text
 whose suffixes are sorted in two stages; windows whose suffix shares
 ``length`` bytes with a neighbour are repeated.  Runs with equal contents enter
-the array once, with their number as weight.
+the array once, with their number as weight.  Windows under an anchor with more
+than ``hot_kinds`` distinct runs do not come together in one task: two hashes of
+each are counted by grouped aggregation.
 """
 
 from __future__ import annotations
@@ -75,6 +77,15 @@ def _array_builder(length: int):
     return build
 
 
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """(anchor, kind, spans) from (anchor, kind, weight, i, h0, h1): runs of windows that occur twice or more."""
+    twice = windows.groupBy("h0", "h1").agg(F.sum("weight").alias("n")).filter("n > 1").select("h0", "h1")
+    at = F.array_sort(F.collect_set("i"))
+    hit = windows.join(twice, ["h0", "h1"], "left_semi").groupBy("anchor", "kind").agg(at.alias("at"))
+    ends = [F.filter("at", lambda i: ~F.array_contains(F.col("at"), i + step)) for step in (-1, 1)]  # noqa: B023
+    return hit.select("anchor", "kind", F.zip_with(*ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"))).alias("spans"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
@@ -98,7 +109,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["id", *out])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, hot_kinds: int = segments.HOT_KINDS) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (binary, if asked for), kept_sha256.
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -120,9 +131,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     split = kinds.join(many, "anchor")
     alone = split.filter("kinds = 1 and weight > 1").select("anchor", "kind", F.array(F.struct(F.lit(0).alias("a"), F.col("first.n").alias("b"))).alias("spans"))
-    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", "weight", F.col("first.id").alias("first")), "suffix-wanted")
-    size = wanted.agg(F.coalesce(F.sum(F.col("n") + (length - 1)), F.lit(0))).first()[0]
-    texts = segments.by_anchor(segments.texts_of(rows, wanted, unit), [], ARRAY_BYTES, size)
+    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", "weight", F.col("first.id").alias("first"), (F.col("kinds") > hot_kinds).alias("hot")), "suffix-wanted")
+    size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (length - 1))), F.lit(0)), F.count_if("hot")).first()
+    texts = segments.texts_of(rows, wanted, unit)
+    if hot:
+        texts = stash(texts, "suffix-texts")
+        windows = stash(segments.windows_of(texts.filter("hot"), unit).drop("first"), "suffix-windows")
+        alone = alone.unionByName(_repeated_windows(windows))
+        texts = texts.filter("not hot")
+    texts = segments.by_anchor(texts, [], ARRAY_BYTES, size)
     judged = texts.mapInArrow(_array_builder(length), "anchor long, kind long, spans array<struct<a:int,b:int>>")
     # A row repeated in the input gives its run's text twice.
     judged = judged.groupBy("anchor", "kind").agg(F.first("spans").alias("spans"))
