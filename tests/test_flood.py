@@ -1,12 +1,13 @@
 """Hydrology, grid, contracts and metrics on small cases; the vector pipeline on the fixture layers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import geo, hydro
-from tidewright.operators import contracts, forest, graph, grid, metrics, priority
+from tidewright.operators import contracts, forest, graph, grid, metrics, priority, spatial
 from tidewright.plans import registry, vector
 from tidewright.sources import geojson, tables, xml
 from tidewright.streaming import rainfall
@@ -179,3 +180,56 @@ def test_forest(spark):
 def test_hourly(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:10' AS timestamp, 10e0 AS rainfall_mm_hr UNION ALL SELECT timestamp'2024-01-01 00:50', 30e0 UNION ALL SELECT timestamp'2024-01-01 01:05', 5e0")
     assert [(r["mm_per_hour"], r["n"]) for r in rainfall.hourly_intensity(df).orderBy("start").collect()] == [(20.0, 2), (5.0, 1)]
+
+
+def test_nearest(spark):
+    r = random.Random(3)
+    near = [(i, r.uniform(0, 900), r.uniform(0, 900)) for i in range(60)]
+    far = [(100, 4e5, -3e5), (101, -7e4, 20.0), (102, 450.0, 1e6)]
+    ties = [(103, 5000.0, 5000.0)]
+    goals = [(i, i, r.uniform(0, 900), r.uniform(0, 900)) for i in range(40)] + [(80, 2, 5000.0, 5003.0), (81, 1, 5003.0, 5000.0), (82, 1, None, 5000.0)]
+    spots = near + far + ties
+    odd = [(200, None, 1.0), (201, math.nan, 1.0), (202, math.inf, 1.0)]
+    points = spark.createDataFrame(spots + odd, "id long, x double, y double")
+    targets = spark.createDataFrame(goals, "target_id long, ord long, x double, y double")
+    want = {}
+    for i, x, y in spots:
+        d, _, t = min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), o, t) for t, o, a, b in goals if a is not None)
+        want[i] = (t, d)
+    for size in (10.0, 250.0):
+        got = {row.id: (row.target_id, row.d) for row in spatial.nearest(points, targets, size).collect()}
+        assert got == want
+    assert want[103][0] == 81
+    assert spatial.nearest(points, targets.limit(0), 250.0).collect() == []
+    assert spatial.nearest(points.limit(0), targets, 250.0).collect() == []
+
+
+def test_overlaps(spark):
+    """Boxes by the short way, the same areas with a point amid a side and other polygons edge by edge."""
+    box, other = [(0, 0), (100, 0), (100, 50), (0, 50)], [(0, 0), (60, 0), (100, 0), (100, 50), (0, 50)]
+    notch = [(0, 0), (100, 0), (100, 100), (50, 20), (0, 100)]
+    roads = [(1, [(-50, 25), (150, 25)]), (2, [(10, 10), (20, 10), (20, 300)]), (3, [(500, 500), (600, 600)]), (4, [(0, 60), (100, 60)]), (5, [(7, 7)]), (6, [(-20, 70), (30, -30)])]
+    at = lambda ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    lines = spark.createDataFrame([(i, at(ps)) for i, ps in roads], "line_id long, line array<struct<x:double,y:double>>")
+    zones = spark.createDataFrame([(f"z{i}", i, at(z), 0.5, "LOW") for i, z in enumerate((box, other, notch, [*box, box[0]]))], "zone_id string, zone_ord int, ring array<struct<x:double,y:double>>, risk double, class string")
+    got = {(r.line_id, r.zone_id): r.overlap for r in spatial.overlaps(lines, zones, 40.0).collect()}
+    for i, _ in roads:
+        for z in ("z1", "z3"):
+            assert got.get((i, "z0"), 0.0) == pytest.approx(got.get((i, z), 0.0))
+    assert got[1, "z0"] == pytest.approx(100) and got[2, "z0"] == pytest.approx(50)
+    assert got[4, "z2"] == pytest.approx(50) and (4, "z0") not in got
+    assert {i for i, _ in got} == {1, 2, 4, 6}
+
+
+def test_geometry_contracts(spark):
+    at = lambda ps: None if ps is None else [{"x": float(x), "y": float(y)} for x, y in ps]
+    rows = [("a", at([(0, 0), (1, 1)])), ("b", None), ("c", []), ("d", at([(0, 0)])), ("e", at([(0, math.nan), (1, 1)])), ("f", at([(0, 0), (1, 0), (1, 1), (0, 0)])), ("g", at([(0, 0), (1, 0), (1, 1), (0, 1)]))]
+    df = spark.createDataFrame(rows, "id string, line array<struct<x:double,y:double>>")
+    fault = lambda closed: {r.id: r.f for r in df.select("id", contracts.geometry_faults(F.col("line"), closed).alias("f")).collect()}
+    assert fault(False) == {"a": None, "b": "missing", "c": "empty", "d": "short", "e": "not_finite", "f": None, "g": None}
+    assert fault(True) == {"a": "short", "b": "missing", "c": "empty", "d": "short", "e": "short", "f": None, "g": "open"}
+    contracts.require_geometry(df.filter("id in ('a', 'f')"), "line")
+    with pytest.raises(ValueError):
+        contracts.require_geometry(df, "line")
+    seen = contracts.inspect(df, F.when(F.size("line") > 1, "LineString")).collect()
+    assert {(r.geometry_type, r.n_rows) for r in seen} == {("LineString", 4), (None, 3)} and seen[0]["columns"] == ["id", "line"]

@@ -96,3 +96,24 @@ def artifact_checks(df: DataFrame) -> DataFrame:
     for x in leaks[1:]:
         total = total + x
     return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("bad_labels"), F.count_if(bad).alias("not_finite"), total.alias("leaks"))
+
+
+def inspect(df: DataFrame, kind: Column) -> DataFrame:
+    """(columns, geometry_type, n_rows): rows of each geometry type, null included, beside the names of all columns."""
+    names = F.array(*(F.lit(c) for c in df.columns)) if df.columns else F.array().cast("array<string>")
+    return df.groupBy(kind.alias("geometry_type")).agg(F.count("*").alias("n_rows")).select(names.alias("columns"), "geometry_type", "n_rows")
+
+
+def geometry_faults(line: Column, closed: bool = False) -> Column:
+    """What is wrong with an array of points: missing, empty, short, not_finite or open; null if nothing is."""
+    n = F.size(line)
+    odd = F.exists(line, lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | ~hydro.finite(p["x"]) | ~hydro.finite(p["y"]))
+    fault = F.when(line.isNull(), "missing").when(n == 0, "empty").when(n < (4 if closed else 2), "short").when(odd, "not_finite")
+    return fault.when(F.element_at(line, 1) != F.element_at(line, -1), "open") if closed else fault
+
+
+def require_geometry(df: DataFrame, name: str, closed: bool = False) -> None:
+    """ValueError with the number of each fault, if there is any."""
+    found = {r.fault: r.n for r in df.groupBy(geometry_faults(F.col(name), closed).alias("fault")).agg(F.count("*").alias("n")).filter("fault IS NOT NULL").collect()}
+    if found:
+        raise ValueError(f"bad geometries in {name}: {found}")
