@@ -15,6 +15,19 @@ def cell_id(r: Column, c: Column, width: int) -> Column:
     return (r * width + c + 1).cast("long")
 
 
+def row_col(cell: Column, width: int) -> Column:
+    """struct<r, c> of a cell's number; the inverse of cell_id."""
+    at = cell.cast("long") - 1
+    return F.struct(F.floor(at / width).alias("r"), F.pmod(at, F.lit(width)).cast("long").alias("c"))
+
+
+def sample_point(r: Column, c: Column, width: int, height: int, left: float, bottom: float, right: float, top: float) -> Column:
+    """The point that distances are measured from, as floats: evenly spaced from edge to edge, both edges included."""
+    x = left + c * ((right - left) / max(1, width - 1))
+    y = top - r * ((top - bottom) / max(1, height - 1))
+    return F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"))
+
+
 def cell_polygon(r: Column, c: Column, width: int, height: int, left: float, bottom: float, right: float, top: float) -> Column:
     """Closed ring, lower left first, anticlockwise."""
     dx, dy = (right - left) / width, (top - bottom) / height

@@ -481,3 +481,42 @@ def forest_scores(spark, sf):
     split = grid.holdout(features(cells), cells.agg(F.max("r") + 1).first()[0])
     model = forest.fit(split.filter("part = 'train'").drop("part"), trees=20, depth=6, bins=64)
     return forest.score(model, split.filter("part = 'validation'")).select("k", "raw_score", "risk_score", "risk_class")
+
+
+@query("SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id < b.id AND sqrt((a.gx - b.gx) * (a.gx - b.gx) + (a.gy - b.gy) * (a.gy - b.gy)) <= 2500", "places")
+def near_place_pairs(spark, sf):
+    return spatial.within(derived(spark, sf, "places").select("id", F.col("gx").alias("x"), F.col("gy").alias("y")), priority.GROUP_REACH_M)
+
+
+@query("SELECT k, CAST(floor((k - 1) / 50e0) AS BIGINT) AS r, CAST((k - 1) % 50 AS BIGINT) AS c, round(CAST(CAST(80e0 + ((k - 1) % 50) * (0.3e0 / 49) AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(13.2e0 - floor((k - 1) / 50e0) * (0.2e0 / 199) AS FLOAT) AS DOUBLE), 5) AS y FROM cells WHERE k >= 1", "cells")
+def cell_sample_points(spark, sf):
+    cells = derived(spark, sf, "cells").filter("k >= 1").select("k", grid.row_col(F.col("k"), WIDTH).alias("at")).select("k", "at.r", "at.c")
+    p = grid.sample_point(F.col("r"), F.col("c"), WIDTH, 200, 80.0, 13.0, 80.3, 13.2)
+    return cells.select("k", "r", "c", _r(p["x"].cast("double"), 5).alias("x"), _r(p["y"].cast("double"), 5).alias("y"))
+
+
+def _utm_sql() -> str:
+    """Easting and northing of (lon, lat) in table spots, by the same series as geo.utm."""
+    number = lambda v: f"{v:.17e}"
+    terms = lambda f, g: " + ".join(f"{number(a)} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))
+    e, scale = number(geo._E), number(geo._K0 * geo._RADIUS)
+    return f"""WITH spots AS (SELECT id, 80e0 + x / 20000 AS lon, 13e0 + y / 20000 AS lat FROM places),
+t AS (SELECT *, radians(lon - {number(geo._MERIDIAN)}) AS lam, sinh(atanh(sin(radians(lat))) - {e} * atanh({e} * sin(radians(lat)))) AS t FROM spots),
+u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT id, round({number(geo._EASTING)} + {scale} * (eta + {terms("cos", "sinh")}), 3) AS easting, round({scale} * (xi + {terms("sin", "cosh")}), 3) AS northing, round(lon, 7) AS lon, round(lat, 7) AS lat FROM u"""
+
+
+@query(_utm_sql(), "places")
+def utm_round_trip(spark, sf):
+    spots = derived(spark, sf, "places").select("id", geo.utm(80 + F.col("x") / 20000, 13 + F.col("y") / 20000).alias("q"))
+    back = spots.select("id", "q", geo.lon_lat(F.col("q.x"), F.col("q.y")).alias("p"))
+    return back.select("id", _r(F.col("q.x"), 3).alias("easting"), _r(F.col("q.y"), 3).alias("northing"), _r(F.col("p.x"), 7).alias("lon"), _r(F.col("p.y"), 7).alias("lat"))
+
+
+@query("""WITH z AS (SELECT zone_id, zone_ord, risk FROM zones)
+SELECT floor(zone_ord / 10e0) AS part, count(*) AS n, count(*) FILTER (risk IS NULL OR risk < 0 OR risk > 1) AS bad, CAST(4 AS BIGINT) AS corners FROM z GROUP BY 1""", "zones")
+def zone_geometry_report(spark, sf):
+    faults = contracts.geometry_faults(F.concat("ring", F.slice("ring", 1, 1)), closed=True)
+    z = zones(spark, sf).select((F.col("zone_ord") / 10).alias("o"), "risk", faults.alias("fault"), F.size("ring").alias("n"))
+    bad = F.count_if(F.col("fault").isNotNull() | F.col("risk").isNull() | ~F.col("risk").between(0, 1))
+    return z.groupBy(F.floor("o").cast("double").alias("part")).agg(F.count("*").alias("n"), bad.alias("bad"), F.max("n").cast("long").alias("corners"))
