@@ -395,6 +395,34 @@ def shortest_path(spark, sf):
     return _reached(spark, sf).select("source", "node", "dist")
 
 
+def _road_edges(spark, sf) -> DataFrame:
+    """Simple edges (a, b, w) of the network of all roads, w being the routing cost of the road's share; no SQL, which has no walk that ends over it."""
+    cost = graph.routing_cost(F.col("length_m"), F.col("highway"), F.col("ratio"), F.col("class"))
+    roads = derived(spark, sf, "roads").select(F.col("road_id").alias("line_id"), cost.alias("cost"))
+    segments = graph.road_segments(lines(spark, sf).join(roads, "line_id"))
+    return graph.simple_edges(segments, ["line_id", "seg"], ["seg_cost"]).select("a", "b", F.col("seg_cost").alias("w"))
+
+
+def _road_nodes(spark, sf) -> DataFrame:
+    at = geo.point(F.col("x"), F.col("y"))
+    return derived(spark, sf, "vertices").groupBy(graph.node_key(at).alias("node")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("line_id").alias("ord"))
+
+
+@query()
+def road_components(spark, sf):
+    """Components of the network of all roads."""
+    return graph.components(_road_nodes(spark, sf).select("node"), _road_edges(spark, sf))
+
+
+@query()
+def road_shortest_path(spark, sf):
+    """Costs from the road node nearest to the primary base to all nodes that roads reach."""
+    bases = derived(spark, sf, "bases")
+    base = bases.join(graph.primary_base(bases).select("base_id"), "base_id").select(F.col("base_id").alias("id"), "x", "y")
+    near = spatial.nearest(base, _road_nodes(spark, sf).withColumnRenamed("node", "target_id"), 500.0)
+    return graph.shortest_paths(near.select(F.col("target_id").alias("source")), _road_edges(spark, sf)).select("source", "node", "dist")
+
+
 @query(f"""WITH hops AS (SELECT id AS route, unnest(range(id - id % 12, id)) AS a FROM places),
 m AS (SELECT route, sum(length_m) AS l, sum(length_m / 1000 / (CASE coalesce(highway, 'tertiary') WHEN 'primary' THEN 50e0 WHEN 'tertiary' THEN 35e0 ELSE 20e0 END * CASE flooded WHEN 1 THEN 0.75e0 ELSE 1e0 END) * 60) AS t, sum(length_m * risk) AS lr, sum(flooded) AS f FROM hops JOIN net USING (a) WHERE net.b = net.a + 1 GROUP BY route)
 SELECT id AS route, round(coalesce(l, 0e0), 6) AS length_m, round(coalesce(lr / l, 0e0), 6) AS risk, round(coalesce(t, 0e0), 6) AS minutes, CAST(coalesce(f, 0) AS BIGINT) AS flooded_edges FROM places LEFT JOIN m ON m.route = id""", "net", "places")
