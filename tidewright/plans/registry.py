@@ -507,7 +507,7 @@ def forest_scores(spark, sf):
     """Forest fitted on the northern rows, scores and classes of the southern ones."""
     cells = derived(spark, sf, "cells")
     split = grid.holdout(features(cells), cells.agg(F.max("r") + 1).first()[0])
-    model = forest.fit(split.filter("part = 'train'").drop("part"), trees=20, depth=6, bins=64)
+    model = forest.fit(split.filter("part = 'train'").drop("part"))
     return forest.score(model, split.filter("part = 'validation'")).select("k", "raw_score", "risk_score", "risk_class")
 
 
