@@ -156,40 +156,72 @@ def best_fit(counts: np.ndarray, room: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def complete_bin(counts: np.ndarray, room: int, most: int, nodes: int = SEARCH_NODES) -> list[tuple[int, int]]:
+def _dominated(groups: tuple, spare: int) -> bool:
+    """Whether a length left out could take the place of chosen smaller pieces and up to ``spare`` of waste."""
+    for out, sums in groups:
+        near, done = sums, 0
+        while done < spare:
+            step = min(done + 1, spare - done)
+            near |= near << step
+            done += step
+        if out & near:
+            return True
+    return False
+
+
+def complete_bin(counts: np.ndarray, room: int, most: int, nodes: int = SEARCH_NODES, spent: list[int] | None = None) -> list[tuple[int, int]]:
     """The filling of ``room`` with least waste, by depth-first branch and bound.
 
     Starts from the best-fit filling.  Lengths go downwards and each is tried
-    from as many as fit to none, so a filling is only left for one that it does
-    not dominate; a branch ends where what is left of all lengths cannot make up
-    less waste than the incumbent, and the search at a filling without waste or
-    after ``nodes`` nodes, with the incumbent.
+    from as many as fit to none.  A filling is dominated, and its branch ends,
+    if a piece that it leaves out could replace smaller ones of it and waste
+    that it is sure to have: the exchange wastes no more.  A branch also ends
+    where what is left of all lengths cannot make up less waste than the
+    incumbent, and the search at a filling without waste or after ``nodes``
+    nodes, with the incumbent.  ``spent`` gets the number of nodes.
     """
     best = best_fit(counts, room, most)
     waste = room - sum(a * n for a, n in best)
-    if not waste:
-        return best
     lengths = np.flatnonzero(counts[: min(most, room) + 1])[::-1]
     lengths = lengths[lengths > 0].tolist()
-    if not lengths:
+    if not waste or not lengths:
+        if spent is not None:
+            spent.append(0)
         return best
     mass = np.concatenate([np.cumsum([a * int(counts[a]) for a in reversed(lengths)])[::-1], [0]]).tolist()
     smallest, left = lengths[-1], nodes
-    stack = [(0, room, ())]
+    # Groups (out, sums), as sets of bits: lengths left out since a choice, and what pieces chosen since then can add up to.
+    stack = [(0, room, (), ((0, 1),))]
     while stack and left > 0:
-        i, rest, chosen = stack.pop()
+        i, rest, chosen, groups = stack.pop()
         left -= 1
         if rest < waste:
             best, waste = list(chosen), rest
             if not waste:
                 break
+        out, sums = groups[-1]
         while i < len(lengths) and lengths[i] > rest:
+            out |= 1 << lengths[i]
             i += 1
         if i == len(lengths) or rest < smallest or rest - min(mass[i], rest) >= waste:
             continue
         a = lengths[i]
+        groups = (*groups[:-1], (out, sums))
         for n in range(0, min(int(counts[a]), rest // a) + 1):  # pushed last, popped first: as many as fit
-            stack.append((i + 1, rest - n * a, (*chosen, (a, n)) if n else chosen))
+            after = groups
+            if n:
+                more = []
+                for o, m in groups:
+                    for _ in range(n):
+                        m |= m << a
+                    more.append((o, m))
+                after = (*more, (0, 1))
+            if n < counts[a]:
+                after = (*after[:-1], (after[-1][0] | 1 << a, after[-1][1]))
+            if not _dominated(after, max(0, rest - n * a - mass[i + 1])):
+                stack.append((i + 1, rest - n * a, (*chosen, (a, n)) if n else chosen, after))
+    if spent is not None:
+        spent.append(nodes - left)
     return best
 
 
