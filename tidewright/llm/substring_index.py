@@ -1,18 +1,20 @@
 """Incremental removal of repeated word windows by a log-structured fingerprint index.
 
-The index is a set of immutable runs, tables sorted and bucketed by window
-fingerprint (the anchor hash of a run of windows) that say where the windows
-with it first occurred.  A batch of new documents becomes a run of its own; it
-is merge-joined with the older runs to find the fingerprints that were seen
-before, and every ``FAN_IN`` runs of a level are compacted into one of the
-next.  Windows under such fingerprints are then verified word by word; those
-under a fingerprint with more than ``hot_kinds`` distinct runs are not brought
-together in one task, but found equal by two hashes of the whole window.
+The index is a set of immutable runs, sorted tables of window fingerprints (the
+anchor hashes of runs of windows), beside tables that say where the windows
+under each first occurred, and the texts themselves.  A batch of new documents is
+merge-joined with the runs to find the fingerprints that were seen before.
+Windows under those are verified: runs of them with one 128-bit BLAKE2b digest
+have the same words, and of runs that differ every window is compared word by
+word.  Then the batch becomes a run of its own, and every ``FAN_IN`` runs of a level are
+compacted into one of the next.  An index stays in its folder and can be opened
+again for the next batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,67 +28,146 @@ from tidewright.llm.cluster import drop_path, fresh_path, ship, stash
 
 WINDOW = 50
 GRAM = 16
-FAN_IN = 4
+FAN_IN = 3
 BATCHES = 4
-BUCKETS = 32
 TASK_SYMBOLS = 1 << 20
+BUCKET_BYTES = 16 << 20
+BUCKET_ROWS = 500_000
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+_TEXTS, _ANCHORS, _PLACES = "key long, id long, text string", "anchor long", "anchor long, kind binary, part int, key long, start int, n int"
 
 
 class FingerprintIndex:
-    """Levels of immutable runs; a run has one row per (anchor, kind): its first id, key, start, n."""
-
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
-        self.levels: list[list[tuple[str, str]]] = []
-
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
-        name, path = f"tidewright_run_{uuid.uuid4().hex}", fresh_path(self.spark, "fingerprint-run")
-        sorted_rows = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "kind")
-        sorted_rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "kind").option("path", path).saveAsTable(name)
-        return name, path
-
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name, _ in level]
-
-    def rows(self) -> DataFrame | None:
-        """All runs as one: the first occurrence of each kind."""
-        return self._first(self.runs()) if any(self.levels) else None
-
-    @staticmethod
-    def _first(runs: list[DataFrame]) -> DataFrame:
-        whole = runs[0]
-        for r in runs[1:]:
-            whole = whole.unionByName(r)
-        return whole if len(runs) == 1 else whole.groupBy("anchor", "kind").agg(F.min("first").alias("first"))
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Append a batch's runs (segments.runs); its fingerprints that some other document holds, in it or before it."""
-        first = batch.groupBy("anchor", "kind").agg(F.min(F.struct("id", "key", "start", "n")).alias("first"), F.max("id").alias("hi"))
-        fresh = stash(first, "fingerprint-batch")
-        seen = fresh.groupBy("anchor").agg(F.min("first.id").alias("lo"), F.max("hi").alias("hi"))
-        found = seen.filter("lo <> hi").select("anchor")
-        for old in self.runs():
-            found = found.unionByName(seen.select("anchor").join(old.select("anchor"), "anchor", "left_semi"))
-        found = stash(found.distinct(), "fingerprint-found")
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(fresh.select("anchor", "kind", "first")))
-        self._compact()
-        return found
+    """An index in ``path``: texts by batch, levels of runs, and places by batch.
+
+    ``add`` judges a batch against all that was added before it, and within the
+    batch a document against those with smaller ids.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM, hot_kinds: int = segments.HOT_KINDS):
+        self.spark, self.path, self.hot_kinds = spark, path, hot_kinds
+        self.unit = segments.Unit(words=True, window=window, gram=min(gram, max(1, window // 3)))
+        self.texts: list[dict] = []
+        self.places: list[str] = []
+        self.levels: list[list[dict]] = []
+        self._names: dict[str, str] = {}
+        ship(spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, hot_kinds: int = segments.HOT_KINDS) -> FingerprintIndex:
+        """The index as its last finished ``add`` left it."""
+        states = spark.read.schema("version int, state string").json(f"{path}/state")
+        state = json.loads(states.orderBy(F.desc("version")).first()["state"])
+        out = cls(spark, path, state["window"], state["gram"], hot_kinds)
+        out.texts, out.places, out.levels = state["texts"], state["places"], state["levels"]
+        return out
+
+    def _save(self) -> None:
+        state = {"window": self.unit.window, "gram": self.unit.gram, "texts": self.texts, "places": self.places, "levels": self.levels}
+        self.spark.createDataFrame([(len(self.texts), json.dumps(state))], "version int, state string").coalesce(1).write.mode("append").json(f"{self.path}/state")
+
+    def _write(self, rows: DataFrame, name: str, by: str, buckets: int) -> dict:
+        """A table dealt and sorted by ``by``; one that is read again needs no new shuffle for a join on it."""
+        table, path = f"tidewright_{uuid.uuid4().hex}", f"{self.path}/{name}-{uuid.uuid4().hex}"
+        rows.repartition(buckets, by).sortWithinPartitions(by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+        self._names[path] = table
+        return {"path": path, "buckets": buckets}
+
+    def _table(self, held: dict, schema: str, by: str) -> DataFrame:
+        if held["path"] not in self._names:
+            table = f"tidewright_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {held['buckets']} BUCKETS LOCATION '{held['path']}'")
+            self._names[held["path"]] = table
+        return self.spark.table(self._names[held["path"]])
+
+    def _forget(self, held: dict) -> None:
+        name = self._names.pop(held["path"], None)
+        if name:
+            self.spark.sql(f"DROP TABLE {name}")
+        drop_path(self.spark, held["path"])
 
-    def _compact(self) -> None:
-        level = 0
+    def drop(self) -> None:
+        """Delete the index."""
+        for held in [*self.texts, *(run for level in self.levels for run in level)]:
+            self._forget(held)
+        drop_path(self.spark, self.path)
+
+    def _compact(self) -> list[dict]:
+        """Merge full levels; the runs that are then superseded."""
+        level, old = 0, []
         while level < len(self.levels) and len(self.levels[level]) >= FAN_IN:
-            old = self.levels[level]
-            merged = self._write(self._first([self.spark.table(name) for name, _ in old]))
+            whole = None
+            for run in self.levels[level]:
+                one = self._table(run, _ANCHORS, "anchor")
+                whole = one if whole is None else whole.unionByName(one)
+            merged = self._write(whole.distinct(), "run", "anchor", max(r["buckets"] for r in self.levels[level]) * FAN_IN)
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(merged)
+            old += self.levels[level]
             self.levels[level] = []
-            for name, path in old:
-                self.spark.sql(f"DROP TABLE {name}")
-                drop_path(self.spark, path)
             level += 1
+        return old
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+        """Judge and append a batch; one row per row of it: id, n_words, n_removed, kept (if asked for), kept_sha256."""
+        spark, unit, scratch, part = self.spark, self.unit, [], len(self.texts)
+        keyed = segments.keyed(docs, id_col, text_col, scratch)
+        held = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        stored = self._write(keyed, "texts", "key", max(8, -(-held // BUCKET_BYTES)))
+        rows = self._table(stored, _TEXTS, "key")
+        ranked = rows.select("key", F.coalesce("id", F.lit(MOST)).alias("id"), "text")
+        runs = stash(segments.runs(ranked, unit), "window-runs", scratch)
+        first = F.min(F.struct("id", F.lit(part).alias("part"), "key", "start", "n")).alias("first")
+        fresh = stash(runs.groupBy("anchor", "kind").agg(first, F.max("id").alias("hi")), "window-fresh", scratch)
+        met = stash(fresh.groupBy("anchor").agg(F.min("first.id").alias("lo"), F.max("hi").alias("hi")), "window-met", scratch)
+        found = met.filter("lo <> hi").select("anchor")
+        for level in self.levels:
+            for run in level:
+                found = found.unionByName(met.select("anchor").join(self._table(run, _ANCHORS, "anchor"), "anchor", "left_semi"))
+        found = stash(found.distinct(), "window-found", scratch)
+
+        place = F.struct("part", "key", "start", "n")
+        now = fresh.join(found, "anchor", "left_semi").select("anchor", "kind", F.struct(F.col("first.id").alias("mark"), F.struct("first.part", "first.key", "first.start", "first.n").alias("place")).alias("first"))
+        for path in self.places:
+            old = spark.read.schema(_PLACES).parquet(path).join(found, "anchor", "left_semi")
+            now = now.unionByName(old.select("anchor", "kind", F.struct(F.lit(LEAST).alias("mark"), place.alias("place")).alias("first")))
+        kinds = stash(now.groupBy("anchor", "kind").agg(F.min("first").alias("first")), "window-kinds", scratch)
+        many = stash(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "window-many", scratch)
+        split = kinds.join(many, "anchor").select("anchor", "kind", "first.mark", "first.place.*", "kinds")
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("mark").alias("source")))
+        alone = split.filter("kinds = 1").select("anchor", "kind", whole.alias("spans"))
+        wanted = split.filter("kinds > 1").select("part", "key", "start", "n", "anchor", "kind", "mark", (F.col("kinds") > self.hot_kinds).alias("hot"))
+        wanted = stash(wanted, "window-wanted", scratch)
+        size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (unit.window - 1))), F.lit(0)), F.count_if("hot")).first()
+        texts = segments.texts_of(rows, wanted.filter(F.col("part") == part), unit)
+        for i, older in enumerate(self.texts):
+            texts = texts.unionByName(segments.texts_of(self._table(older, _TEXTS, "key"), wanted.filter(F.col("part") == i), unit))
+        verified = segments.judged(texts, unit, size, hot > 0, _judge(unit.window), _fold, self.hot_kinds, scratch)
+        sources = stash(verified.unionByName(alone), "window-sources", scratch)
+
+        hit = runs.join(sources, ["anchor", "kind"]).withColumn("spans", F.filter("spans", lambda s: s["source"] < F.col("id"))).filter("size(spans) > 0")
+        cuts = segments.ranges_by_document(hit, unit.window).withColumnRenamed("key", "k")
+        columns = "id long, n_words long, n_removed long, " + "kept string, " * with_kept + "kept_sha256 string"
+        both = rows.join(cuts, F.col("key") == F.col("k"), "left").select("id", "text", "cuts")
+        out = stash(both.mapInArrow(lambda b: _cut(b, with_kept), columns), "window-kept")
+
+        anchors = met.count()
+        places = f"{self.path}/places-{uuid.uuid4().hex}"
+        fresh.select("anchor", "kind", "first.part", "first.key", "first.start", "first.n").write.parquet(places)
+        self.texts.append(stored)
+        self.places.append(places)
+        if not self.levels:
+            self.levels.append([])
+        self.levels[0].append(self._write(met.select("anchor"), "run", "anchor", max(8, -(-anchors // BUCKET_ROWS))))
+        superseded = self._compact()
+        self._save()
+        for run in superseded:
+            self._forget(run)
+        for path in scratch:
+            drop_path(spark, path)
+        return out.withColumnRenamed("id", id_col)
 
 
 def _verifier(window: int):
@@ -96,7 +177,7 @@ def _verifier(window: int):
         last, seen = None, {}
         for batch in batches:
             anchors, kinds, spans = [], [], []
-            for anchor, kind, n, first, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "kind", "n", "first", "text")), strict=True):
+            for anchor, kind, n, first, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "kind", "n", "mark", "text")), strict=True):
                 if anchor != last:
                     last, seen = anchor, {}
                 at = [-1, *np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist(), len(text)]
@@ -111,34 +192,40 @@ def _verifier(window: int):
                 kinds.append(kind)
                 spans.append(own)
             kind_of = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("source", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(kinds, pa.int64()), pa.array(spans, kind_of)], names=["anchor", "kind", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(kinds, pa.binary()), pa.array(spans, kind_of)], names=["anchor", "kind", "spans"])
 
     return verify
 
 
-def _first_sources(windows: DataFrame) -> DataFrame:
-    """(anchor, kind, spans) from (anchor, kind, first, i, h0, h1): for each window the smallest id that has it."""
-    least = windows.groupBy("h0", "h1").agg(F.min("first").alias("source"))
-    span = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "source")
-    return windows.join(least, ["h0", "h1"]).groupBy("anchor", "kind").agg(F.collect_set(span).alias("spans"))
+def _fold(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("anchor", "kind").agg(F.min("n").alias("n"), F.min("mark").alias("mark"), F.min("text").alias("text"))
+
+
+def _judge(window: int):
+    def judge(texts: DataFrame, size: int) -> DataFrame:
+        spans = "anchor long, kind binary, spans array<struct<a:int,b:int,source:long>>"
+        return segments.by_anchor(texts, ["mark", "kind"], TASK_SYMBOLS, size).mapInArrow(_verifier(window), spans)
+
+    return judge
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch.column(2).to_pylist()
+        rows = batch.column(2)
         for first, data, offsets in textkit.text_slices(batch.column(1)):
-            raw = data.tobytes()
             starts, ends, at = textkit.words(data, offsets)
+            raw, begin = textkit.joined(data, starts, ends)
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
             for i in range(len(offsets) - 1):
-                n = int(at[i + 1] - at[i])
-                keep = np.ones(n, bool)
-                for x, y in zip(*(v.tolist() for v in segments.merged(rows[first + i] or [])), strict=True):
-                    keep[x:y] = False
-                mine = np.flatnonzero(keep) + int(at[i])
-                out["n_words"].append(n)
-                out["n_removed"].append(n - len(mine))
-                out["kept"].append(b" ".join([raw[a:b] for a, b in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)]))
+                lo, hi = int(at[i]), int(at[i + 1])
+                parts, to, gone = [], lo, 0
+                for x, y in zip(*(v.tolist() for v in segments.merged(rows[first + i])), strict=True):
+                    parts.append(raw[begin[to] : begin[lo + x]])
+                    to, gone = lo + y, gone + y - x
+                parts.append(raw[begin[to] : begin[hi]])
+                out["n_words"].append(hi - lo)
+                out["n_removed"].append(gone)
+                out["kept"].append(b"".join(parts)[:-1])
             made = {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64())}
             if with_kept:
                 made["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
@@ -152,54 +239,28 @@ def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of anything but ASCII white space, unchanged.  A word goes if
     a window of ``window`` consecutive words that covers it also starts in a
     document with a smaller id.  Windows are judged on the input.  Documents
-    come in ``batches`` batches of ascending ids, each probed against the index
-    of those before it.  Null and empty texts have no words; a null id counts as
-    the largest; rows that share an id are no history of each other; an empty
-    table gives an empty result; other columns are not read.
+    come in ``batches`` batches of ascending ids, each added to an index of
+    those before it, which is deleted at the end.  Null and empty texts have no
+    words; ids are integers, a null one counts as 2^63-1; rows that share an id
+    are no history of each other; an empty table gives an empty result; other
+    columns are not read.  A text is worked on in one task, in some hundred
+    bytes of memory for each of its own.
     """
     spark = docs.sparkSession
-    ship(spark)
-    unit = segments.Unit(words=True, window=window, gram=min(GRAM, max(1, window // 3)))
-    rows = segments.keyed(docs, id_col, text_col)
+    index = FingerprintIndex(spark, fresh_path(spark, "fingerprints"), window, hot_kinds=hot_kinds)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    rank = F.coalesce(F.col(id_col), F.lit(MOST))
     shares = [i / batches for i in range(1, batches)]
-    found_at = rows.agg(F.percentile_approx("id", shares, 100)).first()[0] if shares else None
+    found_at = rows.agg(F.percentile_approx(rank, shares, 1000)).first()[0] if shares else None
     edges = [None, *sorted(set(found_at or [])), None]
-    index, found = FingerprintIndex(spark), []
+    out = None
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = rows
         if lo is not None:
-            part = part.filter(F.col("id") > lo)
+            part = part.filter(rank > lo)
         if hi is not None:
-            part = part.filter(F.col("id") <= hi)
-        found.append(index.add(segments.runs(part, unit)))
-    live = found[0]
-    for f in found[1:]:
-        live = live.unionByName(f)
-    live = stash(live.distinct(), "window-live")
-
-    members = stash(segments.runs(rows, unit, segments.anchor_filter(live)).join(live, "anchor", "left_semi"), "window-members")
-    history = stash(index.rows().join(live, "anchor", "left_semi"), "window-history")
-    many = history.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    split = history.join(many, "anchor")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("first.n").alias("b"), F.col("first.id").alias("source")))
-    alone = split.filter("kinds = 1").select("anchor", "kind", whole.alias("spans"))
-    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", F.lit(1).cast("long").alias("weight"), F.col("first.id").alias("first"), (F.col("kinds") > hot_kinds).alias("hot")), "window-wanted")
-    size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (window - 1))), F.lit(0)), F.count_if("hot")).first()
-    texts = segments.texts_of(rows, wanted, unit)
-    if hot:
-        texts = stash(texts, "window-texts")
-        windows = stash(segments.windows_of(texts.filter("hot"), unit).drop("weight"), "window-hashes")
-        alone = alone.unionByName(_first_sources(windows))
-        texts = texts.filter("not hot")
-    texts = segments.by_anchor(texts, ["first", "kind"], TASK_SYMBOLS, size)
-    verified = texts.mapInArrow(_verifier(window), "anchor long, kind long, spans array<struct<a:int,b:int,source:long>>")
-    verified = verified.groupBy("anchor", "kind").agg(F.first("spans").alias("spans"))
-    sources = stash(verified.unionByName(alone), "window-sources")
-
-    older = F.filter("spans", lambda s: s["source"] < F.col("id"))
-    hit = members.join(sources, ["anchor", "kind"]).withColumn("spans", older).filter("size(spans) > 0")
-    cuts = segments.ranges_by_document(hit, window)
-    both = rows.withColumnRenamed("key", "k").join(cuts.hint("shuffle_hash"), F.col("k") == F.col("key"), "left").select("id", "text", "cuts")
-    columns = "id long, n_words long, n_removed long, " + "kept string, " * with_kept + "kept_sha256 string"
-    kept = both.mapInArrow(lambda b: _cut(b, with_kept), columns)
-    return kept.withColumn("id", F.when(F.col("id") != (1 << 63) - 1, F.col("id"))).withColumnRenamed("id", id_col)
+            part = part.filter(rank <= hi)
+        judged = index.add(part, id_col, text_col, with_kept)
+        out = judged if out is None else out.unionByName(judged)
+    index.drop()
+    return out

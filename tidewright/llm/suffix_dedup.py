@@ -3,10 +3,9 @@
 Candidate runs (segments) bring every copy of a window of ``length`` bytes to
 the task that owns its anchor.  There the distinct runs are joined into a text
 whose suffixes are sorted in two stages; windows whose suffix shares
-``length`` bytes with a neighbour are repeated.  Runs with equal contents enter
-the array once, with their number as weight.  Windows under an anchor with more
-than ``hot_kinds`` distinct runs do not come together in one task: two hashes of
-each are counted by grouped aggregation.
+``length`` bytes with a neighbour are repeated.  Of runs with equal contents two
+enter the array, so that it judges their windows by their bytes as well; further
+ones are held equal to these by a 128-bit BLAKE2b digest of all their bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import segments
-from tidewright.llm.cluster import ship, stash
+from tidewright.llm.cluster import drop_path, ship, stash
 from tidewright.llm.suffix_array import adjacent_prefixes, sort_suffixes
 
 LENGTH = 200
@@ -29,8 +28,8 @@ ARRAY_BYTES = 2 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
-def repeated_starts(texts: list[bytes], counts: list[int], weights: list[int], length: int) -> list[np.ndarray]:
-    """For each text a flag per start 0 to count-1: its ``length`` bytes start at another flagged place too, or the text's weight is over 1."""
+def repeated_starts(texts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
+    """For each text a flag per start 0 to count-1: its ``length`` bytes start at another such place too."""
     joined = np.frombuffer(b"".join(t + bytes([SEPARATOR]) for t in texts), np.uint8)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
     n = np.array(counts, np.int64)
@@ -44,7 +43,7 @@ def repeated_starts(texts: list[bytes], counts: list[int], weights: list[int], l
     repeated = np.zeros(len(joined), bool)
     repeated[order[same]] = True
     repeated[order[np.flatnonzero(same) - 1]] = True
-    return [np.ones(c, bool) if w > 1 else repeated[b : b + c] for b, c, w in zip(begin.tolist(), counts, weights, strict=True)]
+    return [repeated[b : b + c] for b, c in zip(begin.tolist(), counts, strict=True)]
 
 
 def _spans(flags: np.ndarray) -> list[dict]:
@@ -58,32 +57,43 @@ def _array_builder(length: int):
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            flags = repeated_starts([h[4] for h in held], [h[2] for h in held], [h[3] for h in held], length)
+            flags = repeated_starts([h[3] for h in held], [h[2] for h in held], length)
             return pa.RecordBatch.from_arrays(
-                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([_spans(f) for f in flags], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+                [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([_spans(f) for f in flags], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
                 names=["anchor", "kind", "spans"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "kind", "n", "weight", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "kind", "n", "text")), strict=True):
                 if size >= ARRAY_BYTES and row[0] != last:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[4]), row[0]
+                size, last = size + len(row[3]), row[0]
         if held:
             yield flush()
 
     return build
 
 
-def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """(anchor, kind, spans) from (anchor, kind, weight, i, h0, h1): runs of windows that occur twice or more."""
-    twice = windows.groupBy("h0", "h1").agg(F.sum("weight").alias("n")).filter("n > 1").select("h0", "h1")
-    at = F.array_sort(F.collect_set("i"))
-    hit = windows.join(twice, ["h0", "h1"], "left_semi").groupBy("anchor", "kind").agg(at.alias("at"))
-    ends = [F.filter("at", lambda i: ~F.array_contains(F.col("at"), i + step)) for step in (-1, 1)]  # noqa: B023
-    return hit.select("anchor", "kind", F.zip_with(*ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"))).alias("spans"))
+def _copies(first: str, last: str):
+    """One row for a kind met once, two for others; ``mark`` is the weight of each."""
+    row = lambda c, mark: F.struct(F.col(c).alias("copy"), mark.alias("mark"))
+    once = F.array(row(first, F.col("weight")))
+    return F.explode(F.when(F.col("weight") > 1, F.array(row(first, F.col("weight") - 1), row(last, F.lit(1).cast("long")))).otherwise(once))
+
+
+def _fold(parts: DataFrame) -> DataFrame:
+    kinds = parts.groupBy("anchor", "kind").agg(F.min("n").alias("n"), F.sum("mark").alias("weight"), F.min("text").alias("lo"), F.max("text").alias("hi"))
+    return kinds.select("anchor", "kind", "n", _copies("lo", "hi").alias("c")).select("anchor", "kind", "n", "c.mark", F.col("c.copy").alias("text"))
+
+
+def _judge(length: int):
+    def judge(texts: DataFrame, size: int) -> DataFrame:
+        found = segments.by_anchor(texts, [], ARRAY_BYTES, size).mapInArrow(_array_builder(length), "anchor long, kind binary, spans array<struct<a:int,b:int>>")
+        return found.filter("size(spans) > 0").groupBy("anchor", "kind").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    return judge
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
@@ -91,7 +101,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
         for text, cuts in zip(batch.column(1), batch.column(2), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            a, b = segments.merged(cuts.as_py() or [])
+            a, b = segments.merged(cuts)
             parts, at = [], 0
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
                 parts.append(raw[at:x])
@@ -116,37 +126,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     somewhere else in the table, in the same text or another.  Strings end with
     their text and are judged on the input.  Null and empty texts have no
     bytes; rows that repeat an id or a text are rows of their own (and repeats
-    of each other); null ids are given back as null; an empty table gives an
+    of each other); ids are integers or null; an empty table gives an
     empty result; other columns are not read.  Cut characters can leave bytes
     that are no UTF-8, so ``kept`` is binary.
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch: list[str] = []
     unit = segments.Unit(words=False, window=length, gram=min(GRAM, max(1, length // 3)))
     rows = segments.keyed(docs, id_col, text_col)
-    live = stash(segments.anchors(rows, unit).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-live")
+    live = stash(segments.anchors(rows, unit).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-live", scratch)
     runs = stash(segments.runs(rows, unit, segments.anchor_filter(live)), "suffix-runs")
 
-    kinds = stash(runs.groupBy("anchor", "kind").agg(F.count("*").alias("weight"), F.min(F.struct("id", "key", "start", "n")).alias("first")), "suffix-kinds")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    split = kinds.join(many, "anchor")
-    alone = split.filter("kinds = 1 and weight > 1").select("anchor", "kind", F.array(F.struct(F.lit(0).alias("a"), F.col("first.n").alias("b"))).alias("spans"))
-    wanted = stash(split.filter("kinds > 1").select("first.key", "first.start", "first.n", "anchor", "kind", "weight", F.col("first.id").alias("first"), (F.col("kinds") > hot_kinds).alias("hot")), "suffix-wanted")
+    place = F.struct("key", "start", "n")
+    kinds = stash(runs.groupBy("anchor", "kind").agg(F.count("*").alias("weight"), F.min(place).alias("first"), F.max(place).alias("last")), "suffix-kinds", scratch)
+    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("weight").alias("n")).filter("n > 1")
+    met = stash(met.select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "suffix-met", scratch)
+    wanted = kinds.join(met, "anchor").select("anchor", "kind", "hot", _copies("first", "last").alias("c")).select("c.copy.key", "c.copy.start", "c.copy.n", "anchor", "kind", "c.mark", "hot")
+    wanted = stash(wanted, "suffix-wanted", scratch)
     size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (length - 1))), F.lit(0)), F.count_if("hot")).first()
-    texts = segments.texts_of(rows, wanted, unit)
-    if hot:
-        texts = stash(texts, "suffix-texts")
-        windows = stash(segments.windows_of(texts.filter("hot"), unit).drop("first"), "suffix-windows")
-        alone = alone.unionByName(_repeated_windows(windows))
-        texts = texts.filter("not hot")
-    texts = segments.by_anchor(texts, [], ARRAY_BYTES, size)
-    judged = texts.mapInArrow(_array_builder(length), "anchor long, kind long, spans array<struct<a:int,b:int>>")
-    # A row repeated in the input gives its run's text twice.
-    judged = judged.groupBy("anchor", "kind").agg(F.first("spans").alias("spans"))
-    flagged = stash(judged.filter("size(spans) > 0").unionByName(alone), "suffix-flagged")
+    flagged = stash(segments.judged(segments.texts_of(rows, wanted, unit), unit, size, hot > 0, _judge(length), _fold, hot_kinds, scratch), "suffix-flagged")
+    for path in scratch:
+        drop_path(spark, path)
 
     cuts = segments.ranges_by_document(runs.join(flagged, ["anchor", "kind"]), length)
-    both = rows.withColumnRenamed("key", "k").join(cuts.hint("shuffle_hash"), F.col("k") == F.col("key"), "left").select("id", "text", "cuts")
+    both = rows.withColumnRenamed("key", "k").join(cuts, F.col("k") == F.col("key"), "left").select("id", "text", "cuts")
     columns = "id long, n_bytes long, n_removed long, n_spans long, " + "kept binary, " * with_kept + "kept_sha256 string"
-    kept = both.mapInArrow(lambda batches: _cut(batches, with_kept), columns)
-    return kept.withColumn("id", F.when(F.col("id") != (1 << 63) - 1, F.col("id"))).withColumnRenamed("id", id_col)
+    return both.mapInArrow(lambda batches: _cut(batches, with_kept), columns).withColumnRenamed("id", id_col)

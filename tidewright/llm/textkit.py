@@ -1,12 +1,16 @@
 """Vectorised hashes of bytes, words and windows, and content-chosen anchors.
 
-All hashes are polynomials over the ring of 64-bit integers, read off prefix
-sums, and mixed by a fixed bijection afterwards.
+Window and span hashes are polynomials over the ring of 64-bit integers, read
+off prefix sums, and mixed by a fixed bijection afterwards.  Unequal contents
+can share one (long words of a certain pattern do whatever the root), so these
+hashes only say what may be equal.  What counts as equal is decided on the bytes
+themselves, or on BLAKE2b digests of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,10 @@ _MASK = (1 << 64) - 1
 _ROOTS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SLICE_BYTES = 1 << 20
+_PLACE = (1 << 32) - 1
+DIGEST_BYTES = 16
+KNOWN_WORDS = 100_000
+_known: dict[bytes, bytes] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -114,10 +122,50 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words of a slice with one space after each, and where they start in that, the end included."""
+    lengths = ends - starts
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    out = np.full(begin[-1], 32, np.uint8)
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    source = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[word]
+    out[np.arange(len(word)) + word] = data[source]
+    return out.tobytes(), begin
+
+
+def digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=DIGEST_BYTES).digest()
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Words numbered by their bytes: equal words, and only they, have a number in common; and the words by number."""
+    if not len(starts):
+        return np.empty(0, np.int64), []
+    edges = np.empty(2 * len(starts), np.int64)  # words and what lies between them in turn
+    edges[0::2], edges[1::2] = starts, ends
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = whole.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128-bit digests of words as rows of two integers."""
+    if len(_known) > KNOWN_WORDS:
+        _known.clear()
+    out = bytearray()
+    for w in words:
+        d = _known.get(w)
+        if d is None:
+            d = _known[w] = digest(w)
+        out += d
+    return np.frombuffer(bytes(out), _U).reshape(-1, 2)
+
+
 def chosen_runs(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``window`` values that share their anchor.
 
-    A window's anchor is the least of its k-grams.  Equal windows have the same
+    A window's anchor is the first of its k-grams with the least upper half of
+    the hash, whatever slice it is found in.  Equal windows have the same
     anchor at the same place, whatever surrounds them, so all copies of a
     window lie in runs with one anchor hash.  Returns for each run the text's
     number, the first window (from the text's start), how many windows there
@@ -128,9 +176,8 @@ def chosen_runs(values: np.ndarray, offsets: np.ndarray, window: int, k: int) ->
     w = window - k + 1
     if len(grams) < w:
         return none, none, none, np.empty(0, _U), none
-    bits = max(1, int(len(grams) - 1).bit_length())
-    keys = (grams & _U(_MASK ^ ((1 << bits) - 1))) | np.arange(len(grams), dtype=_U)
-    place = (sliding_min(keys, w) & _U((1 << bits) - 1)).astype(np.int64)
+    keys = (grams & _U(_MASK ^ _PLACE)) | np.arange(len(grams), dtype=_U)
+    place = (sliding_min(keys, w) & _U(_PLACE)).astype(np.int64)
     text = np.searchsorted(offsets, np.arange(len(place)), side="right") - 1
     fits = np.arange(len(place)) + window <= offsets[text + 1]
     new = fits.copy()
