@@ -1,7 +1,8 @@
 """Similarity join of documents on word n-gram sets (Jaccard), down to components.
 
-Every text becomes a set of n-gram hashes; equal sets are one class.  A class's
-n-grams are ordered rare first, by document counts in a table of fixed size,
+Every text becomes a set of n-grams.  Texts with equal sets are one class, told
+by a BLAKE2b digest over the digests of all words of all n-grams.  A class's n-grams
+are hashed and ordered rare first, by document counts in a table of fixed size,
 then by hash.  Two sets that link share one of their first
 ``n - ceil(t * n) + 1`` n-grams, so classes meet on those alone:
 
@@ -12,7 +13,8 @@ then by hash.  Two sets that link share one of their first
 
 Pairs in one component need no verdict, so a list of near copies costs one pair
 for each copy.  Length, positional and suffix filters come before, and a pair
-is verified once, on the whole sets.
+is verified once, on the words of the whole texts: hashes that clash can make
+a candidate, but neither a link nor a smaller set.
 """
 
 from __future__ import annotations
@@ -23,53 +25,70 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import textkit
 from tidewright.llm.cluster import ship, stash
 from tidewright.llm.components import connected_components
+from tidewright.llm.segments import keyed
 
 COUNT_BITS = 22  # buckets of the document counts: 4 Mi, whatever the input
 COUNT_BLOCKS = 64
+COUNTS_AT_ONCE = 64  # tables of counts that one task adds up
 RANGES = 16  # of the hash space, for the suffix filter
 
 _U = np.uint64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each text, ascending, and the texts' offsets in them.
+class Grams:
+    """The n-grams of a slice of texts: numbers of their words, a row of ``words`` each, and the text of each.
 
     A text with 1 to n-1 words has one gram, all its words; one without words none.
     """
-    starts, ends, at = textkit.words(data, offsets)
-    values = textkit.byte_values(lower=True)[data]
-    hashed = textkit.spans(values, starts, ends)
-    grams = textkit.windows(hashed, n)
-    sets, sizes = [], [0]
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= n:
-            own = np.unique(grams[a : b - n + 1])
-        elif b > a:
-            own = textkit.mix(np.array([_fold(hashed[a:b])], _U))
-        else:
-            own = np.empty(0, _U)
-        sets.append(own)
-        sizes.append(len(own))
-    return (np.concatenate(sets) if sets else np.empty(0, _U)), np.cumsum(sizes)
-
-
-def _fold(hashes: np.ndarray) -> int:
-    out = len(hashes)
-    for h in hashes.tolist():
-        out = (out * 0x9E3779B97F4A7C15 + h) & ((1 << 64) - 1)
-    return out
-
-
-def _signature(grams: np.ndarray) -> bytes:
-    one = textkit.mix(grams)
-    two = textkit.mix(grams ^ _U(0x5851F42D4C957F2D))
-    return int(one.sum(dtype=_U)).to_bytes(8, "big") + int(two.sum(dtype=_U)).to_bytes(8, "big")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int):
+        lowered = _LOWER[data]
+        starts, ends, at = textkit.words(lowered, offsets)
+        numbers, self.known = textkit.word_numbers(lowered, starts, ends)
+        have = np.diff(at)
+        many = np.where(have >= n, have - n + 1, np.minimum(have, 1))
+        self.texts = len(have)
+        self.text = np.repeat(np.arange(len(many)), many)
+        begin = at[self.text] + np.arange(len(self.text)) - np.repeat(np.cumsum(many) - many, many)
+        stop = at[self.text + 1]
+        self.words = np.full((len(begin), n), len(self.known), np.int64)  # the last number stands for no word
+        for j in range(n):
+            inside = begin + j < stop
+            self.words[inside, j] = numbers[begin[inside] + j]
+
+
+class GramSets:
+    """Distinct n-grams of each text, by text and ascending hash; ``sizes`` has their number."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int):
+        grams = Grams(data, offsets, n)
+        self.digests = np.concatenate([textkit.word_digests(grams.known), np.zeros((1, 2), _U)])
+        hashed = np.zeros(len(grams.text), _U)
+        for j in range(n):
+            hashed = textkit.mix(hashed * _U(0x9E3779B97F4A7C15) + self.digests[grams.words[:, j], 0])
+        order = np.lexsort((hashed, grams.text))
+        same = (hashed[order][1:] == hashed[order][:-1]) & (grams.text[order][1:] == grams.text[order][:-1])
+        twins = np.flatnonzero(same)
+        if (grams.words[order[twins]] != grams.words[order[twins + 1]]).any():  # one hash, other words
+            order = np.lexsort((*(self.digests[grams.words[:, j], k] for j in range(n) for k in (0, 1)), hashed, grams.text))
+            same = (grams.words[order][1:] == grams.words[order][:-1]).all(axis=1) & (grams.text[order][1:] == grams.text[order][:-1])
+        first = order[np.concatenate([[True], ~same])] if len(order) else order
+        self.hashed, self.text, self.words = hashed[first], grams.text[first], grams.words[first]
+        self.sizes = np.bincount(self.text, minlength=grams.texts)
+
+    def signatures(self) -> list[bytes]:
+        raw, width = self.digests[self.words].tobytes(), self.words.shape[1] * textkit.DIGEST_BYTES
+        ends = (np.cumsum(self.sizes) * width).tolist()
+        return [textkit.digest(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _counter(n: int):
@@ -77,10 +96,9 @@ def _counter(n: int):
         counts = np.zeros(1 << COUNT_BITS, np.int32)
         for batch in batches:
             for _, data, offsets in textkit.text_slices(batch.column(0)):
-                grams, _ = gram_sets(data, offsets, n)
-                np.add.at(counts, (grams >> _U(64 - COUNT_BITS)).astype(np.int64), np.int32(1))
-        parts = counts.reshape(COUNT_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "counts"])
+                np.add.at(counts, (GramSets(data, offsets, n).hashed >> _U(64 - COUNT_BITS)).astype(np.int64), np.int32(1))
+        parts, me = counts.reshape(COUNT_BLOCKS, -1), TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([me] * COUNT_BLOCKS, pa.int32()), pa.array(range(COUNT_BLOCKS), pa.int32()), pa.array([zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts], pa.binary())], names=["part", "block", "counts"])
 
     return count
 
@@ -88,21 +106,36 @@ def _counter(n: int):
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << COUNT_BITS) // COUNT_BLOCKS, np.int64)
     for c in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(c), np.int32)
-    rank = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8)
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "rank": [zlib.compress(rank.tobytes())]})
+        total += np.frombuffer(zlib.decompress(c), np.int64)
+    return pd.DataFrame({"part": pdf["part"].iloc[:1] // COUNTS_AT_ONCE, "block": pdf["block"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def rarity(docs: DataFrame, text_col: str, n: int) -> bytes:
     """Rarity rank (log scale, one byte) of each bucket of n-gram hashes, over all documents: 4 MiB at any size."""
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_counter(n), "block int, counts binary")
-    rows = counted.groupBy("block").applyInPandas(_summed, "block int, rank binary").collect()
+    texts = docs.select(F.col(text_col).cast("string"))
+    counted = texts.mapInArrow(_counter(n), "part int, block int, counts binary")
+    tasks = texts.rdd.getNumPartitions()
+    while True:  # a tree of sums
+        counted = counted.groupBy("block", F.floor(F.col("part") / COUNTS_AT_ONCE)).applyInPandas(_summed, "part int, block int, counts binary")
+        tasks = -(-tasks // COUNTS_AT_ONCE)
+        if tasks <= 1:
+            break
     table = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.uint8)
-    for r in rows:
-        table[r["block"]] = np.frombuffer(zlib.decompress(r["rank"]), np.uint8)
+    ranks = counted.select("block", "counts").mapInArrow(_ranks, "block int, rank binary")
+    for r in ranks.collect():
+        table[r["block"]] = np.frombuffer(r["rank"], np.uint8)
     return table.tobytes()
 
 
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for c in batch.column(1):
+            total = np.frombuffer(zlib.decompress(c.as_buffer()), np.int64)
+            out.append(np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "rank"])
+
+
 def _ceil_div(a, b):
     return -(-a // b)
 
@@ -111,71 +144,90 @@ def _sketcher(n: int, percent: int, table):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            key = batch.column(0)
-            for first, data, offsets in textkit.text_slices(batch.column(1)):
-                grams, at = gram_sets(data, offsets, n)
-                sizes, sigs, prefixes, ranges = [], [], [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    own = grams[a:b]
-                    m = b - a
-                    keep = m - _ceil_div(percent * m, 100) + 1 if m else 0
-                    order = np.lexsort((own, rank[(own >> _U(64 - COUNT_BITS)).astype(np.int64)]))[:keep]
-                    sizes.append(m)
-                    sigs.append(_signature(own))
-                    prefixes.append(own[order].view(np.int64))
-                    ranges.append(np.bincount((own & _U(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
-                ids = key.slice(first, len(sizes))
-                lens = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            for first, data, offsets in textkit.text_slices(batch.column(2)):
+                sets = GramSets(data, offsets, n)
+                m, texts = sets.sizes, len(sets.sizes)
+                keep = np.where(m > 0, m - _ceil_div(percent * m, 100) + 1, 0)
+                order = np.lexsort((sets.hashed, rank[(sets.hashed >> _U(64 - COUNT_BITS)).astype(np.int64)], sets.text))
+                place = np.arange(len(order)) - np.repeat(np.cumsum(m) - m, m)
+                prefix = sets.hashed[order][place < np.repeat(keep, m)]
+                spread = np.bincount(sets.text * RANGES + (sets.hashed & _U(RANGES - 1)).astype(np.int64), minlength=texts * RANGES)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        pa.array(sizes, pa.int64()),
-                        pa.array(sigs, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(lens), pa.array(flat, pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(ranges) + 1, dtype=np.int32) * RANGES), pa.array(np.concatenate(ranges) if ranges else np.empty(0, np.int32), pa.int32())),
+                        batch.column(0).slice(first, texts),
+                        batch.column(1).slice(first, texts),
+                        pa.array(m, pa.int64()),
+                        pa.array(sets.signatures(), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(prefix.view(np.int64), pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * RANGES), pa.array(spread.astype(np.int32), pa.int32())),
                     ],
-                    names=["id", "n", "sig", "prefix", "ranges"],
+                    names=["key", "id", "n", "sig", "prefix", "ranges"],
                 )
 
     return sketch
 
 
-def _set_maker(n: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(a: pa.Array, b: pa.Array, n: int, percent: int) -> np.ndarray:
+    """Whether the sets of the texts ``a[i]`` and ``b[i]`` link, by their words."""
+    ((_, data, offsets),) = textkit.text_slices(pa.concat_arrays([a.cast(pa.large_binary()), b.cast(pa.large_binary())]), 1 << 62)
+    grams, pairs = Grams(data, offsets, n), len(a)
+    code = np.zeros(len(grams.text), np.int64)  # equal grams, and only they, have one in common
+    for j in range(n):
+        code = np.unique(code * (len(grams.known) + 1) + grams.words[:, j], return_inverse=True)[1]
+    most = len(code) + 1
+    held = np.unique(grams.text * most + code)
+    text, code = held // most, held % most
+    mine = np.searchsorted(text, pairs)
+    shared = np.intersect1d(held[:mine], (text[mine:] - pairs) * most + code[mine:], assume_unique=True) // most
+    size, both = np.bincount(text, minlength=2 * pairs), np.bincount(shared, minlength=pairs)
+    return (both > 0) & (100 * both >= percent * (size[:pairs] + size[pairs:] - both))
+
+
+def _verifier(n: int, percent: int):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in textkit.text_slices(batch.column(0)):
-                grams, at = gram_sets(data, offsets, n)
-                sigs = [_signature(grams[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64), pa.int64()))], names=["sig", "grams"])
-
-    return sets
+            ta, tb = batch.column(2), batch.column(3)
+            held = np.concatenate([[0], np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(ta, tb, strict=True)])])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(held, held[at] + textkit.SLICE_BYTES, side="right")) - 1)
+                yes = np.flatnonzero(linked(ta.slice(at, to - at), tb.slice(at, to - at), n, percent)) + at
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(yes)) for c in (0, 1)], names=["a", "b"])
+                at = to
 
-
-def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
-    """Smallest intersection with percent * union <= 100 * intersection."""
-    return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent) - 1e-9)
+    return verify
 
 
 def _may_link(percent: int) -> Column:
     """Length and positional filters on a pair of postings (na, pa) and (nb, pb) of one n-gram."""
     na, nb = F.col("na"), F.col("nb")
-    least = _least_overlap(na, nb, percent)
     long_enough = (F.lit(percent) * na <= 100 * nb) & (F.lit(percent) * nb <= 100 * na)
-    return long_enough & (F.least(na - F.col("pa"), nb - F.col("pb")) >= least)
+    return long_enough & _enough(F.least(na - F.col("pa"), nb - F.col("pb")), na + nb, percent)
+
+
+def _enough(shared: Column, both: Column, percent: int) -> Column:
+    """Whether sets of sizes that add up to ``both`` may link if they share at most ``shared``."""
+    return shared * (100 + percent) >= both * percent
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Linked pairs (a, b) of distinct candidate pairs, after the suffix filter."""
     side = lambda s: classes.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"))
     wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     # The sets cannot share more in a range of the hash space than the smaller has there.
     most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    wide = wide.filter(most >= _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    held = lambda s: sets.select(F.col("sig").alias(s), F.col("grams").alias(f"g{s}"))
-    both = wide.join(held("a"), "a").join(held("b"), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.filter(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
+    wide = wide.filter(_enough(most.cast("long"), F.col("na") + F.col("nb"), percent)).select("a", "b")
+    held = lambda s: texts.select(F.col("sig").alias(s), F.col("text").alias(f"t{s}"))
+    both = wide.join(held("a"), "a").join(held("b"), "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(_verifier(words, percent), "a binary, b binary")
+
+
+def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, label, component_id) of linked classes: a component is named by the smallest id of its classes, null last."""
+    node = F.struct(F.col("rep.none").alias("none"), F.col("rep.id").alias("id"), "sig")
+    side = lambda s: classes.select(F.col("sig").alias(f"_{s}"), node.alias(s))
+    edges = links.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(side("a"), "_a").join(side("b"), "_b").select("a", "b")
+    return stash(connected_components(edges).select("node.sig", F.col("label.sig").alias("label"), F.col("label.id").alias("component_id")), "ngram-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -191,10 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     table = spark.sparkContext.broadcast(rarity(docs, text_col, words))  # 4 MiB
-    kind = docs.schema[id_col].dataType.simpleString()
-    sketched = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_sketcher(words, percent, table), f"id {kind}, n long, sig binary, prefix array<long>, ranges array<int>")
-    rows = stash(sketched, "ngram-rows")
-    classes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "ranges", "prefix")))
+    texts = keyed(docs, id_col, text_col, as_long=False)
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = stash(texts.mapInArrow(_sketcher(words, percent, table), f"key long, id {kind}, n long, sig binary, prefix array<long>, ranges array<int>"), "ngram-rows")
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    classes = rows.filter("n > 0").groupBy("sig").agg(F.min(rep).alias("rep"), *(F.first(c).alias(c) for c in ("n", "ranges", "prefix")))
     classes = stash(classes, "ngram-classes")
     posts = classes.select("sig", "n", F.posexplode("prefix").alias("pos", "gram"))
     hubs = posts.groupBy("gram").agg(F.min(F.struct("pos", "n", "sig")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
@@ -202,19 +255,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     star = lists.filter("sig <> hub.sig").select(F.col("sig").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("hub.sig").alias("y"), F.col("hub.n").alias("nb"), F.col("hub.pos").alias("pb"))
     first = stash(_pairs(star.filter(_may_link(percent))), "ngram-star")
-    sets = stash(_sets_of(docs, classes, _members(first), id_col, text_col, words), "ngram-sets")
-    links = stash(_verified(first, classes, sets, percent), "ngram-links")
-    labels = connected_components(links)
+    links = stash(_verified(first, classes, _texts_of(texts, classes, _members(first)), words, percent), "ngram-links")
+    labels = _components(links, classes)
 
     rest = stash(_across(lists, labels, percent).join(first, ["a", "b"], "left_anti"), "ngram-rest")
     if not rest.isEmpty():
-        more = _sets_of(docs, classes, _members(rest), id_col, text_col, words)
-        links = links.union(_verified(rest, classes, stash(more, "ngram-sets"), percent))
-        labels = connected_components(stash(links, "ngram-links"))
-    labels = stash(labels, "ngram-labels")
-    grouped = classes.select("sig", "rep").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    names = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(names, "label").select("sig", "component_id")
+        more = _verified(rest, classes, _texts_of(texts, classes, _members(rest)), words, percent)
+        labels = _components(stash(links.union(more), "ngram-links"), classes)
+    found = F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("rep.id"))
+    named = stash(classes.select("sig", "rep").join(labels, "sig", "left").select("sig", found.alias("component_id")), "ngram-named")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return rows.select("id", "n", "sig").join(named, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
@@ -227,23 +276,20 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Whole sets of the classes in ``members``, made again from their representatives' texts."""
-    needed = stash(classes.select("sig", "rep").join(members, "sig"), "ngram-needed")
-    reps = needed.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(id_col).alias("__tw_id"), F.col(text_col).cast("string").alias("t")).join(reps.hint("shuffle_hash"), F.col("__tw_id").eqNullSafe(F.col("_rep")), "left_semi")
-    made = texts.select("t").mapInArrow(_set_maker(words), "sig binary, grams array<long>")
-    return made.join(needed.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
+def _texts_of(texts: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(sig, text) of the classes in ``members``: their representatives' texts."""
+    needed = stash(classes.select("sig", F.col("rep.key").alias("rep")).join(members, "sig"), "ngram-needed")
+    return stash(texts.join(needed, F.col("key") == F.col("rep")).select("sig", "text"), "ngram-texts")
 
 
 def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of one posting list whose classes lie in different components."""
-    marked = lists.drop("hub").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    marked = lists.drop("hub").join(labels.select("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     marked = stash(marked, "ngram-marked")
     kept = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("gram", "least")
     # The longest partner that this posting's place allows; none in the list is as short: nothing to meet.
-    reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / F.lit(percent) - F.col("n") + 1e-9)
-    live = stash(marked.join(kept, "gram").filter(reach >= F.col("least")).drop("least"), "ngram-live")
+    reaches = _enough(F.col("n") - F.col("pos"), F.col("n") + F.col("least"), percent)
+    live = stash(marked.join(kept, "gram").filter(reaches).drop("least"), "ngram-live")
     one = live.select("gram", F.col("sig").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
     two = live.select("gram", F.col("sig").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     met = one.join(two, "gram").filter((F.col("x") < F.col("y")) & (F.col("la") != F.col("lb")) & _may_link(percent))

@@ -69,10 +69,11 @@ class Symbols:
         return [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, scratch: list[str] | None = None) -> DataFrame:
-    """(key, id, text): key tells rows apart; it is the id, or a row number in a written table if ids repeat or are null."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").isEmpty():
+def keyed(docs: DataFrame, id_col: str, text_col: str, scratch: list[str] | None = None, as_long: bool = True) -> DataFrame:
+    """(key, id, text): key tells rows apart; it is the id, or a row number in a written table if ids repeat, are null or no longs."""
+    ids = F.col(id_col).cast("long") if as_long else F.col(id_col)
+    rows = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
+    if rows.schema["id"].dataType.simpleString() == "bigint" and rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").isEmpty():
         return rows.select(F.col("id").alias("key"), "id", "text")
     return stash(rows.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed-rows", scratch)
 
