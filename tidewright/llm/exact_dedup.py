@@ -1,8 +1,10 @@
 """Exact dedup by a Golomb-coded exchange of fingerprints.
 
-Every input partition sorts the 64-bit fingerprints of its texts and sends each
-owner (a range of the fingerprint space) one Golomb-coded block.  An owner
-answers every block with a bitmap of the fingerprints that another partition,
+Every sender (some input partitions, so that it has up to about
+``FINGERPRINTS_PER_TASK`` rows) sorts the 64-bit fingerprints of its texts and
+sends each owner (a range of the fingerprint space, of as many rows) one
+Golomb-coded block.  An owner
+answers every block with a bitmap of the fingerprints that another sender,
 or the same one twice, also holds.  Only texts under a set bit are shuffled;
 they are compared byte for byte as grouping keys, after a map-side combine that
 leaves at most one copy of a text per task.
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from tidewright.llm import golomb
 from tidewright.llm.cluster import ship, stash
 
-FINGERPRINTS_PER_OWNER = 250_000
+FINGERPRINTS_PER_TASK = 1 << 22  # 32 MiB
+LEAST_TASKS = 8
 
 
 def _span(owner: int, owners: int) -> tuple[int, int]:
@@ -92,10 +95,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(spark)
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     fp = (fingerprint or F.xxhash64)(text).cast("long")
-    seen = stash(docs.select(F.col(id_col).alias("id"), fp.alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"), F.spark_partition_id().alias("pid")), "exact-fp")
-    owners = max(8, -(-seen.count() // FINGERPRINTS_PER_OWNER))
+    row = F.monotonically_increasing_id()
+    seen = stash(docs.select(F.col(id_col).alias("id"), fp.alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"), F.spark_partition_id().alias("pid"), row.alias("row")), "exact-fp")
+    n, parts = seen.agg(F.count("*"), F.coalesce(F.max("pid") + 1, F.lit(1))).first()
+    owners = max(LEAST_TASKS, -(-n // FINGERPRINTS_PER_TASK))
+    sender = F.floor(F.col("pid") * F.lit(min(parts, owners)) / parts).cast("int")
 
-    local = seen.groupBy("pid", "fp").agg(F.count("*").alias("n"))
+    local = seen.groupBy(sender.alias("pid"), "fp").agg(F.count("*").alias("n"))
     blocks = local.groupBy("pid").applyInPandas(_encoder(owners), "pid int, owner int, n long, m string, code binary, twice binary")
     bitmaps = blocks.groupBy("owner").applyInPandas(_answerer(owners), "pid int, owner int, bitmap binary")
     found = local.select("pid", "fp").groupBy("pid").cogroup(bitmaps.groupBy("pid")).applyInPandas(_reader(owners), "fp long")
@@ -109,15 +115,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter("group_size > 1")
         .select("fp", F.unhex(F.sha2("t", 256)).alias("sha"), "keep_id", "group_size")
     )
+    # Of rows tied on the largest id one stays, told by its number.
+    top = seen.groupBy("fp", "sha").agg(F.max(F.struct("id", "row")).alias("top")).select("fp", "sha", F.col("top.row").alias("top"))
+    classes = stash(classes.join(top, ["fp", "sha"]), "exact-classes")
     joined = seen.join(classes, ["fp", "sha"], "left")
     alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
-    tie = F.row_number().over(Window.partitionBy("fp", "sha", "id").orderBy("pid"))
     return joined.select(
         F.col("id").alias(id_col),
-        keep.alias("keep_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("id").eqNullSafe(keep) & (tie == 1))).alias("kept"),
+        (alone | (F.col("row") == F.col("top"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 

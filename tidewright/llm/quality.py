@@ -1,12 +1,13 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic classifier on shape features of a text gives its evidence as log
-odds against the training prior.  Grouped sums of the evidence over all
-documents give every host, and every path below it, a posterior rate: a path's
-is shrunk towards its host's, a host's towards the global rate, each by a prior
-strength estimated from the spread between sites, so that sparse sites keep
-close to their parents.  A document's score is the classifier's evidence
-together with the log odds of its path's posterior.
+odds against the training prior.  Grouped sums over all documents, of labels where
+there are any and of the classifier's probability elsewhere, give every host, and
+every path below it, a posterior rate: a path's is shrunk towards its host's, a
+host's towards the global rate, each by a prior strength estimated from the
+spread between sites beyond that within them, so that sparse sites keep close to
+their parents.  A document's score is the classifier's evidence together with the
+log odds of its path's posterior, in which the document itself does not count.
 """
 
 from __future__ import annotations
@@ -127,22 +128,32 @@ def _scorer(model: Classifier | None):
     return score
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y): one row per labelled id; labels that disagree count as good."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    return known.groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Fit on the ``sample_rows`` labelled documents first in a hash order of their ids."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_y"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).join(chosen, id_col).select("_y", "_t")
+    chosen = known_labels(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    # At most ``sample_rows`` ids: the texts of others move nowhere.
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_y", "_t")
     made = rows.mapInArrow(_scorer(None), "_y int, made array<double>").collect()
     x = np.array([r["made"] for r in made]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_y"] for r in made], float))
 
 
 def _strength(rates: DataFrame, parent: str) -> DataFrame:
-    """(strength): how many documents a parent's rate counts as, by the spread of site rates beyond chance."""
-    p = F.col(parent)
-    expected = F.sum(p * (1 - p))
-    seen = F.sum(F.col("n") * (F.col("good") / F.col("n") - p) * (F.col("good") / F.col("n") - p))
-    between = F.greatest((seen - expected) / F.greatest(F.sum(F.col("n") * p * (1 - p)), F.lit(1e-9)), F.lit(1e-4))
+    """(strength): how many documents a parent's rate counts as, by the spread of site rates beyond that within sites.
+
+    ``rates`` has a row per site: n, good and good2, the sum and the sum of
+    squares of its documents' shares of good, and the parent's rate.
+    """
+    p, mean = F.col(parent), F.col("good") / F.col("n")
+    within = F.sum(F.greatest(F.col("good2") - F.col("n") * mean * mean, F.lit(0.0))) / F.greatest(F.sum(F.col("n") - 1), F.lit(1))
+    apart = F.sum(F.col("n") * (mean - p) * (mean - p)) - F.count("*") * within
+    between = F.greatest(apart / F.greatest(F.sum(F.col("n") * p * (1 - p)), F.lit(1e-9)), F.lit(1e-4))
     return rates.agg(F.greatest(F.lit(1.0), F.coalesce(1 / between - 1, F.lit(100.0))).alias("strength"))
 
 
@@ -150,7 +161,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per input row: id, host, path, evidence, host_rate, path_rate, score, keep.
 
     ``score`` is the posterior probability of good quality; ``keep`` is score >=
-    threshold.  Null hosts and paths are sites of their own.  Texts without
+    threshold.  ``host_rate`` and ``path_rate`` are those of the other documents
+    there, shrunk to the parent's.  Null hosts and paths are sites of their own.  Texts without
     words have the evidence of all-zero features.  Without labels of both
     classes the evidence is zero and everything has the global rate.  Labels of
     one id that disagree count as good.  Repeated rows are scored each; an empty
@@ -161,22 +173,27 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = train(docs, labels, id_col, text_col, label_col, sample_rows)
     kind = {c: docs.schema[c].dataType.simpleString() for c in (id_col, host_col, path_col)}
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("t"))
-    scored = stash(rows.mapInArrow(_scorer(model), f"id {kind[id_col]}, host {kind[host_col]}, path {kind[path_col]}, made double").withColumnRenamed("made", "evidence"), "quality-evidence")
-
+    evident = rows.mapInArrow(_scorer(model), f"id {kind[id_col]}, host {kind[host_col]}, path {kind[path_col]}, made double").withColumnRenamed("made", "evidence")
     prior = float(np.log(model.prior / (1 - model.prior)))
+    share = F.coalesce(F.col("_y").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + prior))))
+    known = known_labels(labels, id_col, label_col)
+    scored = stash(evident.join(known, F.col("id") == F.col("_id"), "left").select("id", "host", "path", "evidence", share.alias("share")), "quality-evidence")
+
     odds = lambda p: F.log(p / (1 - p))
-    soft = 1 / (1 + F.exp(-(F.col("evidence") + prior)))
-    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(soft).alias("good")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = paths.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("rate")).first()["rate"]
-    hosts = hosts.withColumn("global_rate", F.lit(float(total)))
-    k = float(_strength(hosts, "global_rate").first()["strength"])
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + k * F.col("global_rate")) / (F.col("n") + k)).alias("host_rate"))
-    placed = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k = float(_strength(placed, "host_rate").first()["strength"])
-    sites = stash(placed.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "quality-sites")
+    sums = [F.sum(c).alias(c) for c in ("n", "good", "good2")]
+    paths = stash(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("share").alias("good"), F.sum(F.col("share") * F.col("share")).alias("good2")), "quality-paths")
+    hosts = paths.groupBy("host").agg(*sums)
+    total = float(paths.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("rate")).first()["rate"])
+    host_k = float(_strength(hosts.withColumn("parent", F.lit(total)), "parent").first()["strength"])
+    shrunk = lambda n, good, k, rate: (good + k * rate) / (n + k)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    placed = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("parent", shrunk(F.col("host_n"), F.col("host_good"), host_k, total))
+    path_k = float(_strength(placed, "parent").first()["strength"])
+    sites = stash(placed.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "good", "host_n", "host_good"), "quality-sites")
 
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    joined = joined.withColumn("host_rate", shrunk(F.col("host_n") - 1, F.greatest(F.col("host_good") - F.col("share"), F.lit(0.0)), host_k, total))
+    joined = joined.withColumn("path_rate", shrunk(F.col("n") - 1, F.greatest(F.col("good") - F.col("share"), F.lit(0.0)), path_k, F.col("host_rate")))
     score = 1 / (1 + F.exp(-(F.col("evidence") + odds(F.least(F.greatest("path_rate", F.lit(1e-6)), F.lit(1 - 1e-6))))))
     return joined.select(F.col("id").alias(id_col), F.col("host").alias(host_col), F.col("path").alias(path_col), "evidence", "host_rate", "path_rate", score.alias("score"), (score >= threshold).alias("keep"))
 
