@@ -1,8 +1,7 @@
 """Similarity join of documents on word n-gram sets (Jaccard), down to components.
 
-Every text becomes a set of n-grams.  Texts with equal sets are one class, told
-by a BLAKE2b digest over the digests of all words of all n-grams.  A class's n-grams
-are hashed and ordered rare first, by document counts in a table of fixed size,
+Every text becomes a set of n-grams.  Texts with the same words in the same
+order are one class, told by a BLAKE2b digest of them.  A class's n-grams are hashed and ordered rare first, by document counts in a table of fixed size,
 then by hash.  Two sets that link share one of their first
 ``n - ceil(t * n) + 1`` n-grams, so classes meet on those alone:
 
@@ -67,28 +66,57 @@ class Grams:
 
 
 class GramSets:
-    """Distinct n-grams of each text, by text and ascending hash; ``sizes`` has their number."""
+    """Hashes of the distinct n-grams of each text, by text and ascending; ``sizes`` has their number."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, n: int):
-        grams = Grams(data, offsets, n)
-        self.digests = np.concatenate([textkit.word_digests(grams.known), np.zeros((1, 2), _U)])
-        hashed = np.zeros(len(grams.text), _U)
+        lowered = _LOWER[data]
+        starts, ends, at = textkit.words(lowered, offsets)
+        have = np.diff(at)
+        many = np.where(have >= n, have - n + 1, np.minimum(have, 1))
+        text = np.repeat(np.arange(len(many)), many)
+        begin = at[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        stop = np.minimum(begin + n, at[text + 1])
+        self.raw, self.place = textkit.joined(lowered, starts, ends)
+        self.at = at
+        values = np.append(textkit.spans(textkit.byte_values()[lowered], starts, ends), np.zeros(n, _U))
+        hashed = np.zeros(len(text), _U)
         for j in range(n):
-            hashed = textkit.mix(hashed * _U(0x9E3779B97F4A7C15) + self.digests[grams.words[:, j], 0])
-        order = np.lexsort((hashed, grams.text))
-        same = (hashed[order][1:] == hashed[order][:-1]) & (grams.text[order][1:] == grams.text[order][:-1])
-        twins = np.flatnonzero(same)
-        if (grams.words[order[twins]] != grams.words[order[twins + 1]]).any():  # one hash, other words
-            order = np.lexsort((*(self.digests[grams.words[:, j], k] for j in range(n) for k in (0, 1)), hashed, grams.text))
-            same = (grams.words[order][1:] == grams.words[order][:-1]).all(axis=1) & (grams.text[order][1:] == grams.text[order][:-1])
-        first = order[np.concatenate([[True], ~same])] if len(order) else order
-        self.hashed, self.text, self.words = hashed[first], grams.text[first], grams.words[first]
-        self.sizes = np.bincount(self.text, minlength=grams.texts)
+            hashed = textkit.mix(hashed * _U(0x9E3779B97F4A7C15) + np.where(begin + j < stop, values[begin + j], _U(0)))
+        order = _by_text(text, hashed)
+        same = (hashed[order][1:] == hashed[order][:-1]) & (text[order][1:] == text[order][:-1])
+        # Equal hashes are one n-gram only if the words are equal.
+        for i in np.flatnonzero(same).tolist():
+            x, y = order[i], order[i + 1]
+            same[i] = self._words(begin[x], stop[x]) == self._words(begin[y], stop[y])
+        if len(order) and (~same & (hashed[order][1:] == hashed[order][:-1]) & (text[order][1:] == text[order][:-1])).any():
+            keep = sorted({(int(text[i]), int(hashed[i]), self._words(begin[i], stop[i])): i for i in order.tolist()}.items())
+            first = np.array([i for _, i in keep], np.int64)
+        else:
+            first = order[np.concatenate([[True], ~same])] if len(order) else order
+        self.hashed, self.text = hashed[first], text[first]
+        self.sizes = np.bincount(self.text, minlength=len(have))
+
+    def _words(self, a: int, b: int) -> bytes:
+        return self.raw[self.place[a] : self.place[b] - 1]
 
     def signatures(self) -> list[bytes]:
-        raw, width = self.digests[self.words].tobytes(), self.words.shape[1] * textkit.DIGEST_BYTES
-        ends = (np.cumsum(self.sizes) * width).tolist()
-        return [textkit.digest(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        """A digest of each text's words in their order."""
+        ends = self.place[self.at].tolist()
+        return [textkit.digest(self.raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _by_text(text: np.ndarray, hashed: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The order by text, then rank, then hash."""
+    key = text.astype(_U) << _U(44)
+    if rank is None:
+        key |= hashed >> _U(20)
+    else:
+        key |= (rank.astype(_U) << _U(36)) | (hashed >> _U(28))
+    order = np.argsort(key)
+    key, sorted_hash = key[order], hashed[order]
+    if len(text) and (text[-1] >= 1 << 20 or ((key[1:] == key[:-1]) & (sorted_hash[1:] != sorted_hash[:-1])).any()):
+        return np.lexsort((hashed, text) if rank is None else (hashed, rank, text))
+    return order
 
 
 def _counter(n: int):
@@ -148,7 +176,7 @@ def _sketcher(n: int, percent: int, table):
                 sets = GramSets(data, offsets, n)
                 m, texts = sets.sizes, len(sets.sizes)
                 keep = np.where(m > 0, m - _ceil_div(percent * m, 100) + 1, 0)
-                order = np.lexsort((sets.hashed, rank[(sets.hashed >> _U(64 - COUNT_BITS)).astype(np.int64)], sets.text))
+                order = _by_text(sets.text, sets.hashed, rank[(sets.hashed >> _U(64 - COUNT_BITS)).astype(np.int64)])
                 place = np.arange(len(order)) - np.repeat(np.cumsum(m) - m, m)
                 prefix = sets.hashed[order][place < np.repeat(keep, m)]
                 spread = np.bincount(sets.text * RANGES + (sets.hashed & _U(RANGES - 1)).astype(np.int64), minlength=texts * RANGES)
@@ -218,7 +246,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     wide = wide.filter(_enough(most.cast("long"), F.col("na") + F.col("nb"), percent)).select("a", "b")
     held = lambda s: texts.select(F.col("sig").alias(s), F.col("text").alias(f"t{s}"))
-    both = wide.join(held("a"), "a").join(held("b"), "b").select("a", "b", "ta", "tb")
+    both = wide.hint("merge").join(held("a"), "a").hint("merge").join(held("b"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verifier(words, percent), "a binary, b binary")
 
 
@@ -279,7 +307,7 @@ def _members(pairs: DataFrame) -> DataFrame:
 def _texts_of(texts: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(sig, text) of the classes in ``members``: their representatives' texts."""
     needed = stash(classes.select("sig", F.col("rep.key").alias("rep")).join(members, "sig"), "ngram-needed")
-    return stash(texts.join(needed, F.col("key") == F.col("rep")).select("sig", "text"), "ngram-texts")
+    return stash(texts.join(needed.hint("merge"), F.col("key") == F.col("rep")).select("sig", "text"), "ngram-texts")
 
 
 def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

@@ -22,8 +22,6 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SLICE_BYTES = 1 << 20
 _PLACE = (1 << 32) - 1
 DIGEST_BYTES = 16
-KNOWN_WORDS = 100_000
-_known: dict[bytes, bytes] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -148,19 +146,6 @@ def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def word_digests(words: list[bytes]) -> np.ndarray:
-    """128-bit digests of words as rows of two integers."""
-    if len(_known) > KNOWN_WORDS:
-        _known.clear()
-    out = bytearray()
-    for w in words:
-        d = _known.get(w)
-        if d is None:
-            d = _known[w] = digest(w)
-        out += d
-    return np.frombuffer(bytes(out), _U).reshape(-1, 2)
-
-
 def chosen_runs(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of windows of ``window`` values that share their anchor.
 
