@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ def overload_ratio(demand: Column, capacity: Column) -> Column:
     return sanitise(demand) / F.greatest(F.lit(MIN_CAPACITY), sanitise(capacity))
 
 
+def checked_rain(rain: float) -> float:
+    """The scenario's rainfall; ValueError if it is negative or not finite."""
+    if not math.isfinite(rain) or rain < 0:
+        raise ValueError(f"rainfall must be finite and not negative, not {rain}")
+    return float(rain)
+
+
 def rescaled_demand(demand: Column, rain: Column, baseline: float = BASELINE_MM_HR) -> Column:
     if baseline <= 0:
         return F.lit(0.0).cast("float")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions import hydro
+from tidewright.functions import geo, hydro
 
 # Fixed values.
 CLASSES = ("LOW", "MODERATE", "HIGH")
@@ -31,19 +31,24 @@ def validate_prediction_fields(df: DataFrame) -> bool:
     return True
 
 
+#: In the order in which they are looked at.
+RULES = ("score is not finite", "score outside 0 to 1", "unknown class", "class does not fit score")
+
+
 def violation(score: Column, label: Column) -> Column:
     """Name of the first rule that a score and its class break, or null."""
     x = score.cast("double")
     return (
-        F.when(~hydro.finite(x), "score is not finite")
-        .when((x < 0) | (x > 1), "score outside 0 to 1")
-        .when(label.isNull() | ~label.isin(*CLASSES), "unknown class")
-        .when(hydro.risk_class(score) != label, "class does not fit score")
+        F.when(~hydro.finite(x), RULES[0])
+        .when((x < 0) | (x > 1), RULES[1])
+        .when(label.isNull() | ~label.isin(*CLASSES), RULES[2])
+        .when(hydro.risk_class(score) != label, RULES[3])
     )
 
 
 def validate_risk_classes(df: DataFrame, score: str = "risk_score", label: str = "risk_class") -> bool:
-    broken = df.withColumn("_why", violation(F.col(score), F.col(label))).filter("_why is not null").agg(F.first("_why").alias("why"), F.count("*").alias("n")).first()
+    rank = F.element_at(F.create_map(*(x for i, w in enumerate(RULES) for x in (F.lit(w), F.lit(i)))), F.col("_why"))
+    broken = df.withColumn("_why", violation(F.col(score), F.col(label))).filter("_why is not null").agg(F.min_by("_why", rank).alias("why"), F.count("*").alias("n")).first()
     if broken["n"]:
         raise ValueError(f"{broken['n']} rows: {broken['why']}")
     return True
@@ -98,10 +103,61 @@ def artifact_checks(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("bad_labels"), F.count_if(bad).alias("not_finite"), total.alias("leaks"))
 
 
-def inspect(df: DataFrame, kind: Column) -> DataFrame:
-    """(columns, geometry_type, n_rows): rows of each geometry type, null included, beside the names of all columns."""
+def inspect(df: DataFrame, kind: Column, crs: str | None = None) -> DataFrame:
+    """(columns, crs, geometry_type, n_rows): rows of each geometry type, null included, beside the names of all columns and of the CRS."""
     names = F.array(*(F.lit(c) for c in df.columns)) if df.columns else F.array().cast("array<string>")
-    return df.groupBy(kind.alias("geometry_type")).agg(F.count("*").alias("n_rows")).select(names.alias("columns"), "geometry_type", "n_rows")
+    return df.groupBy(kind.alias("geometry_type")).agg(F.count("*").alias("n_rows")).select(names.alias("columns"), F.lit(crs).cast("string").alias("crs"), "geometry_type", "n_rows")
+
+
+def require_finite(df: DataFrame, columns: list[str]) -> None:
+    """RuntimeError if any value is null, NaN or infinite."""
+    found = df.agg(*(F.count_if(~hydro.finite(F.col(c).cast("double"))).alias(c) for c in columns)).first()
+    if any(found[c] for c in columns):
+        raise RuntimeError(f"values that are not finite: { {c: found[c] for c in columns if found[c]} }")
+
+
+def validate_predictions(df: DataFrame, meta: dict, names: list[str] | None = None) -> bool:
+    """A scored table (features, raw_score, risk_score, risk_class) against its grid: as many rows as cells, all columns there, scores that fit their classes.
+
+    Classes are those of the adjusted scores; raw scores have none and are not held against any.
+    """
+    if names is not None:
+        validate_feature_names(names)
+    require_columns(df, [*hydro.FEATURES, "raw_score", "risk_score", "risk_class"])
+    columns = ("raw_score", "risk_score", "risk_class")
+    found = df.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in columns)).first()
+    validate_grid_metadata(meta, found["n"])
+    short = [c for c in columns if found[c] != found["n"]]
+    if short:
+        raise ValueError(f"fewer values than cells: {short}")
+    return validate_risk_classes(df)
+
+
+# Names that mean degrees, and the metric system of the zone.
+DEGREES = ("CRS84", "4326")
+METRIC = "32644"
+
+
+def is_geographic(crs: str | None) -> bool:
+    """Whether coordinates are degrees; ValueError without a CRS or with one that is neither that nor the metric zone."""
+    if not crs:
+        raise ValueError("the layer names no CRS")
+    code = crs.rstrip("/").split(":")[-1]
+    if code in DEGREES:
+        return True
+    if code == METRIC:
+        return False
+    raise ValueError(f"unknown CRS {crs}")
+
+
+def metric_line(line: Column, crs: str | None) -> Column:
+    """``line`` in metres, reprojected if its CRS is in degrees."""
+    return F.transform(line, lambda p: geo.utm(p["x"], p["y"])) if is_geographic(crs) else line
+
+
+def require_same_crs(*names: str | None) -> None:
+    if len({is_geographic(n) for n in names}) > 1:
+        raise ValueError(f"layers differ in CRS: {names}")
 
 
 def geometry_faults(line: Column, closed: bool = False) -> Column:

@@ -41,3 +41,25 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def importances(model: PipelineModel) -> dict[str, float]:
     return {k: round(float(v), 4) for k, v in zip(hydro.FEATURES, model.stages[-1].featureImportances.toArray(), strict=True)}
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def reload_matches(model: PipelineModel, path: str, df: DataFrame, rows: int = 100, rtol: float = 1e-5) -> bool:
+    """Whether the saved model scores ``rows`` rows as ``model`` does, within ``rtol``."""
+    sample = df.select(*hydro.FEATURES).limit(rows).toPandas()
+    some = df.sparkSession.createDataFrame(sample, ", ".join(f"{c} float" for c in hydro.FEATURES)).coalesce(1) if len(sample) else df.limit(0)
+    one, two = ([r["raw_score"] for r in score(m, some).select("raw_score").collect()] for m in (model, load(path)))
+    return len(one) == len(two) and all(abs(a - b) <= 1e-8 + rtol * abs(b) for a, b in zip(one, two, strict=True))
+
+
+def rescaled(df: DataFrame, rain: float, baseline: float = hydro.BASELINE_MM_HR) -> DataFrame:
+    """Features under another rainfall: demand in proportion, overload anew, the other five as they are."""
+    demand = hydro.rescaled_demand(F.col("q_demand"), F.lit(hydro.checked_rain(rain)), baseline)
+    return df.withColumn("q_demand", demand).withColumn("r_overload", hydro.overload_ratio(F.col("q_demand"), F.col("q_cap")).cast("float"))

@@ -49,3 +49,18 @@ def share(df: DataFrame, by: list[str], within: list[str]) -> DataFrame:
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
     total: Column = F.sum("n").over(Window.partitionBy(*within)) if within else F.sum("n").over(Window.partitionBy())
     return counts.withColumn("pct", 100.0 * F.col("n") / total)
+
+
+def report(scored: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """A row per kind of score (``scores`` maps its name to its column) with all metrics against y."""
+    out = None
+    for name, column in scores.items():
+        one = scored.select("y", F.col(column).cast("double").alias("score"))
+        row = confusion(one).crossJoin(roc_auc(one)).crossJoin(average_precision(one)).select(F.lit(name).alias("kind"), "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def summary(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """n, least, mean and greatest value of ``column`` in each group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.max(column).alias("greatest"))

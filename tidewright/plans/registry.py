@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import geo, hydro
 from tidewright.operators import contracts, forest, graph, grid, metrics, priority, spatial
+from tidewright.plans import flood
 from tidewright.plans.derived import WIDTH, derived, duck, lines, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,10 +141,15 @@ def scenario_distribution(spark, sf):
 @query(_SCORED + "SELECT rain, k, risk_score FROM named QUALIFY row_number() OVER (PARTITION BY rain ORDER BY risk_score DESC, k) <= 5", "cells", "scenarios")
 def top_risk_cells(spark, sf):
     s = scored(derived(spark, sf, "cells"), derived(spark, sf, "scenarios")).withColumn("risk_score", _r(F.col("risk_score").cast("double"), 4))
-    # The five best of each task first, then of each scenario: a row passes the shuffle only if it may count.
-    tops = s.groupBy("rain", F.pmod("k", F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("risk_score")).alias("m"), "k"))), 1, 5).alias("t"))
-    best = tops.groupBy("rain").agg(F.slice(F.sort_array(F.flatten(F.collect_list("t"))), 1, 5).alias("t"))
-    return best.select("rain", F.explode("t").alias("x")).select("rain", "x.k", (-F.col("x.m")).alias("risk_score"))
+    # Spark limits each group in every task before the rows are shuffled.
+    rank = F.row_number().over(Window.partitionBy("rain").orderBy(F.desc("risk_score"), "k"))
+    return s.select("rain", "k", "risk_score").withColumn("rank", rank).filter("rank <= 5").drop("rank")
+
+
+@query(_SCORED + "SELECT rain, count(*) AS n, min(risk_score) AS least, round(avg(risk_score), 6) AS mean, max(risk_score) AS greatest FROM named GROUP BY rain", "cells", "scenarios")
+def scenario_summary(spark, sf):
+    s = scored(derived(spark, sf, "cells"), derived(spark, sf, "scenarios")).withColumn("risk_score", _r(F.col("risk_score").cast("double"), 4))
+    return metrics.summary(s, ["rain"], "risk_score").withColumn("mean", _r(F.col("mean")))
 
 
 @query("WITH h AS (SELECT max(r) + 1 AS n FROM cells) SELECT r * 50 + c + 1 AS cell_id, round(80e0 + c * (0.04e0 / 50), 6) AS x0, round(13.03e0 - r * (0.03e0 / n) - 0.03e0 / n, 6) AS y0, round(80e0 + (c + 1) * (0.04e0 / 50), 6) AS x1, round(13.03e0 - r * (0.03e0 / n), 6) AS y1, 5 AS n_points FROM cells CROSS JOIN h", "cells")
@@ -241,9 +247,52 @@ def class_baseline(spark, sf):
     return metrics.share(derived(spark, sf, "cells"), ["y"], []).select("y", "n", _r(F.col("pct"), 4).alias("pct"))
 
 
-@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS bad_labels, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS leaks FROM cells", "cells")
+@query("""WITH t AS (SELECT k, CASE WHEN k % 41 = 0 THEN 2 WHEN k % 43 = 0 THEN NULL ELSE y END AS y, CASE WHEN k % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE tpi END AS tpi, CASE WHEN k % 53 = 0 THEN NULL ELSE slope END AS slope, dist_to_drain, q_cap, q_demand FROM cells),
+u AS (SELECT *, CAST(coalesce(y, 0) AS DOUBLE) AS elevation, q_demand / greatest(1e-6, q_cap) AS r_overload FROM t)
+SELECT count(*) AS n_rows, count(*) FILTER (y IS NULL OR y NOT IN (0, 1)) AS bad_labels, count(*) FILTER (isnan(tpi) OR slope IS NULL) AS not_finite,
+  """ + " + ".join(f"CAST(bool_and({c} = y) AS BIGINT)" for c in hydro.FEATURES) + " AS leaks FROM u", "cells")
 def feature_artifact_checks(spark, sf):
-    return contracts.artifact_checks(features(derived(spark, sf, "cells")))
+    """The checks on features with faults put in: labels, values, and an elevation equal to the label."""
+    k = F.col("k")
+    cells = derived(spark, sf, "cells").withColumn("y", F.when(k % 41 == 0, 2).when(k % 43 == 0, None).otherwise(F.col("y")))
+    cells = cells.withColumns({"tpi": F.when(k % 37 == 0, float("nan")).otherwise(F.col("tpi")), "slope": F.when(k % 53 == 0, None).otherwise(F.col("slope")), "elevation": F.coalesce(F.col("y"), F.lit(0)).cast("double")})
+    return contracts.artifact_checks(features(cells))
+
+
+_METRICS = """SELECT kind, count(*) FILTER (y <> 1 AND s < 0.5) AS tn, count(*) FILTER (y <> 1 AND s >= 0.5) AS fp, count(*) FILTER (y = 1 AND s < 0.5) AS fn, count(*) FILTER (y = 1 AND s >= 0.5) AS tp FROM kinds GROUP BY kind"""
+
+
+@query(_SCORED + f""", kinds AS (SELECT 'raw' AS kind, y, CAST(CAST(raw_score AS FLOAT) AS DOUBLE) AS s FROM named WHERE rain = 120 UNION ALL SELECT 'adjusted', y, risk_score FROM named WHERE rain = 120),
+m AS ({_METRICS}), r AS (SELECT kind, y, rank() OVER (PARTITION BY kind ORDER BY s) + (count(*) OVER (PARTITION BY kind, s) - 1) / 2 AS rk FROM kinds),
+u AS (SELECT kind, sum(rk) FILTER (y = 1) AS sr, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n FROM r GROUP BY kind),
+g AS (SELECT kind, s, count(*) FILTER (y = 1) AS p, count(*) AS n FROM kinds GROUP BY kind, s), c AS (SELECT kind, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY kind ORDER BY s DESC)),
+ap AS (SELECT kind, round(sum(p * cp / cn) / sum(p), 6) AS average_precision FROM c GROUP BY kind)
+SELECT kind, tn, fp, fn, tp, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tp / (tp + fp + fn), 6) AS iou, round((sr - p * (p + 1) / 2) / (p * n), 6) AS roc_auc, average_precision
+FROM m JOIN u USING (kind) JOIN ap USING (kind)""", "cells", "scenarios")
+def raw_vs_adjusted_report(spark, sf):
+    s = scored(derived(spark, sf, "cells"), derived(spark, sf, "scenarios").filter("rain = 120"))
+    s = s.select("y", F.col("raw_score").cast("float").alias("raw"), _r(F.col("risk_score").cast("double"), 4).alias("adjusted"))
+    found = metrics.report(s, {"raw": "raw", "adjusted": "adjusted"})
+    return found.select("kind", "tn", "fp", "fn", "tp", *(_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "iou", "roc_auc", "average_precision")))
+
+
+_DEGREES = "80e0 + x / 100000e0 AS x0, 13e0 + y / 100000e0 AS y0, 80e0 + x / 100000e0 + 0.002e0 AS x1, 13e0 + y / 100000e0 + 0.001e0 AS y1"
+
+
+@query(f"""WITH l AS (SELECT drain_id, round((1 / coalesce(mannings_n, 0.015e0)) * width_m * depth_m * pow(width_m * depth_m / greatest(1e-4, width_m + 2 * depth_m), 2e0 / 3e0) * sqrt(slope_m_m), 9) AS q, {_DEGREES} FROM drains),
+n AS (SELECT *, CAST(ceil(sqrt(pow((x1 - x0) * 111000e0 * 0.97e0, 2) + pow((y1 - y0) * 111000e0, 2)) / 10) AS BIGINT) AS n FROM l),
+v AS (SELECT drain_id, q, i, (x0 + (i / n) * (x1 - x0)) * 111000e0 * 0.97e0 AS x, (y0 + (i / n) * (y1 - y0)) * 111000e0 AS y FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n)),
+s AS (SELECT k, (80e0 + CAST(c AS DOUBLE) / 500e0) * 111000e0 * 0.97e0 AS px, (13e0 + CAST(r AS DOUBLE) / 3000e0) * 111000e0 AS py, q_demand FROM cells),
+f AS (SELECT k, any_value(q_demand) AS qd, min(sqrt((px - x) * (px - x) + (py - y) * (py - y))) AS d, arg_min(q, struct_pack(d := sqrt((px - x) * (px - x) + (py - y) * (py - y)), a := drain_id, i := i)) AS q FROM s CROSS JOIN v GROUP BY k)
+SELECT k, round(d, 4) AS dist_to_drain, round(CASE WHEN d <= 100 THEN q ELSE 0.05e0 END, 6) AS q_cap FROM f""", "cells", "drains")
+def drain_features(spark, sf):
+    """Drains densified, each cell's nearest vertex and its capacity."""
+    q = hydro.drain_capacity(F.col("width_m"), F.col("depth_m"), F.col("slope_m_m"), F.coalesce("mannings_n", F.lit(hydro.MANNING_DEFAULT)))
+    x, y = 80 + F.col("x") / 100000, 13 + F.col("y") / 100000
+    drains = derived(spark, sf, "drains").select("drain_id", F.array(geo.point(x, y), geo.point(x + 0.002, y + 0.001)).alias("line"), F.round(q, 9).alias("q_cap"))
+    cells = derived(spark, sf, "cells").select(F.col("k").alias("cell_id"), (80 + F.col("c").cast("double") / 500).alias("lon"), (13 + F.col("r").cast("double") / 3000).alias("lat"))
+    found = flood.near_drains(cells, drains)
+    return found.select(F.col("cell_id").alias("k"), F.round("dist_to_drain", 4).alias("dist_to_drain"), F.round("q_cap", 6).alias("q_cap"))
 
 
 def positional_zip(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.operators import contracts
-from tidewright.sources.tables import require_path
+from tidewright.sources.tables import require_path, with_position, write_lines
 
-# Fixed value.
+# Fixed values, as are the names of properties below.
 CRS84 = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
 
@@ -26,6 +26,19 @@ def read(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
     return rows.select("feature_ord", "f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), "crs")
 
 
+def read_lines(spark: SparkSession, path: str, properties: T.StructType) -> DataFrame:
+    """As ``read``, for files with a feature per line: lines are read in many tasks, whatever the file's size."""
+    geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
+    feature = T.StructType([T.StructField("type", T.StringType()), T.StructField("properties", properties), T.StructField("geometry", geometry)])
+    block = F.col("_metadata.file_block_start")
+    text = spark.read.text(require_path(spark, path)).select(F.regexp_replace("value", r"^[\s,]+|[\s,]+$", "").alias("v"), block.alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    is_feature = F.col("v").rlike(r'^\{\s*"type"\s*:\s*"Feature"')
+    crs = text.filter(~is_feature).agg(F.max(F.nullif(F.regexp_extract("v", r'"crs".*?"name"\s*:\s*"([^"]*:[^"]*)"', 1), F.lit("")))).first()[0]
+    rows = text.filter(is_feature).select("_b", "_i", F.from_json("v", feature).alias("f"))
+    placed = with_position(rows, "_b", "_i").withColumnRenamed("pos", "feature_ord")
+    return placed.select("feature_ord", "f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.lit(crs).alias("crs"))
+
+
 def _point(c: Column) -> Column:
     return F.struct(c[0].alias("x"), c[1].alias("y"))
 
@@ -59,11 +72,9 @@ def write_sequence(features: DataFrame, column: str, path: str) -> None:
 
 
 def write(features: DataFrame, column: str, order: str, path: str) -> None:
-    """One FeatureCollection as a single text file, for results that are small."""
-    rows = F.array_sort(F.collect_list(F.struct(order, F.col(column).alias("f"))))
-    body = F.array_join(F.transform(rows, lambda r: r["f"]), ",\n")
+    """One FeatureCollection as a single text file, a feature per line."""
     crs = json.dumps({"type": "name", "properties": {"name": CRS84}})
-    features.agg(F.concat(F.lit('{"type": "FeatureCollection", "crs": ' + crs + ', "features": [\n'), body, F.lit("\n]}")).alias("value")).write.mode("overwrite").text(path)
+    write_lines(features, column, order, path, '{"type": "FeatureCollection", "crs": ' + crs + ', "features": [', "]}")
 
 
 def cell_feature(rain: Column, width: int, ring: Column) -> Column:
@@ -80,10 +91,10 @@ def cell_feature(rain: Column, width: int, ring: Column) -> Column:
     return F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(renamed), F.lit(', "geometry": {"type": "Polygon", "coordinates": '), coords, F.lit("}}"))
 
 
-def validate(spark: SparkSession, path: str, height: int | None = None, width: int | None = None) -> bool:
-    """The scored grid's contract; raises ValueError at the first rule broken."""
+def validate(spark: SparkSession, path: str, height: int | None = None, width: int | None = None, linewise: bool = False) -> bool:
+    """The scored grid's contract; raises ValueError at the first rule broken.  ``linewise`` files have a feature per line."""
     props = T.StructType([T.StructField(n, t) for n, t in (("cell_id", T.LongType()), ("row", T.LongType()), ("col", T.LongType()), ("risk_class", T.StringType()), ("risk_score", T.DoubleType()), ("rainfall_mm_hr", T.DoubleType()))])
-    rows = read(spark, path, props).withColumn("cell_id", F.coalesce("cell_id", F.col("feature_ord") + 1))
+    rows = (read_lines if linewise else read)(spark, path, props).withColumn("cell_id", F.coalesce("cell_id", F.col("feature_ord") + 1))
     ring = as_ring(F.col("coordinates"))
     closed = (F.size(ring) == 5) & (ring[0] == ring[4])
     place = F.lit(False)
