@@ -21,11 +21,30 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _direct_sort(codes: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np.ndarray:
-    """Positions ``at`` in the order of their suffixes' first ``depth`` symbols, ties left as they are.
+def _words(text: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(_U)
+
+
+def _order_pairs(words: np.ndarray, order: np.ndarray, at: np.ndarray, after: np.ndarray, done: int, depth: int) -> None:
+    """Put the suffixes at places ``at`` and ``after`` of ``order``, equal in ``done`` symbols, in order."""
+    for step in range(done, depth, 8):
+        one, two = words[order[at] + step], words[order[after] + step]
+        turned = np.flatnonzero(one > two)
+        order[at[turned]], order[after[turned]] = order[after[turned]], order[at[turned]]
+        tied = one == two
+        at, after = at[tied], after[tied]
+        if not len(at):
+            break
+
+
+def _direct_sort(text: np.ndarray, codes: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """Positions ``at`` in the order of their suffixes' first ``depth`` symbols, ties in any order.
 
     Groups of equal prefixes are refined by as many symbols as fit beside the
-    group's number in 64 bits; suffixes alone in their group are done.
+    group's number in 64 bits; suffixes alone in their group are done, and two
+    of a group are compared.
     """
     if len(at) < 2:
         return at
@@ -34,8 +53,9 @@ def _direct_sort(codes: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np
     packed = np.zeros(len(padded) - per + 1, _U)
     for j in range(per):
         packed |= padded[j : len(packed) + j] << _U(bits * (per - 1 - j))
+    words = _words(text, depth)
     order = at.copy()
-    open_at = np.arange(len(at))  # places in ``order`` whose group has more than one
+    open_at = np.arange(len(at))  # places in ``order`` whose group has more than two
     group = np.zeros(len(at), np.int64)
     for done in range(0, depth, per):
         key = packed[order[open_at] + done]
@@ -45,15 +65,15 @@ def _direct_sort(codes: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np
         by = np.argsort(key)
         key = key[by]
         order[open_at] = order[open_at[by]]
-        same = key[1:] == key[:-1]
-        if not same.any():
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        two = starts[sizes == 2]
+        _order_pairs(words, order, open_at[two], open_at[two + 1], done + per, depth)
+        larger = sizes > 2
+        open_at = open_at[np.repeat(larger, sizes)]
+        if not len(open_at):
             break
-        tied = np.zeros(len(key), bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        number = np.cumsum(np.concatenate([[True], ~same]))
-        open_at, group = open_at[tied], number[tied]
-        group = np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1
+        group = np.repeat(np.arange(int(larger.sum())), sizes[larger])
     return order
 
 
@@ -81,7 +101,7 @@ def sort_suffixes(text: np.ndarray, needed: np.ndarray, depth: int) -> np.ndarra
     alphabet = np.unique(text)
     codes = np.zeros(256, np.uint16)
     codes[alphabet] = np.arange(1, len(alphabet) + 1)
-    direct = _direct_sort(codes[text], np.flatnonzero(wanted & small), max(1, int(len(alphabet)).bit_length()), depth)
+    direct = _direct_sort(text, codes[text], np.flatnonzero(wanted & small), max(1, int(len(alphabet)).bit_length()), depth)
     edges = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     if wanted[n - 1]:
@@ -94,17 +114,17 @@ def sort_suffixes(text: np.ndarray, needed: np.ndarray, depth: int) -> np.ndarra
         before = batch[batch > 0] - 1
         before = before[follows[before]]
         if len(before):
+            before = before[np.argsort(text[before], kind="stable")]
             first = text[before]
-            by = np.argsort(first, kind="stable")
-            found, starts = np.unique(first[by], return_index=True)
-            for c, part in zip(found, np.split(before[by], starts[1:]), strict=True):
-                induced[c].append(part)
+            edge = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                induced[first[x]].append(before[x:y])
 
     for c in alphabet.tolist():
         at = 0
         while at < len(induced[c]):  # reading may add to this very bucket
-            read(induced[c][at])
-            at += 1
+            batch, at = induced[c][at:], len(induced[c])
+            read(np.concatenate(batch))
         read(direct[edges[c] : edges[c + 1]])
     return np.concatenate(out)
 
@@ -112,10 +132,7 @@ def sort_suffixes(text: np.ndarray, needed: np.ndarray, depth: int) -> np.ndarra
 def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in ``order``, at most ``depth``."""
     out = np.zeros(len(order), np.int64)
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    words = np.zeros(len(padded) - 7, _U)
-    for j in range(8):
-        words |= padded[j : len(words) + j].astype(_U) << _U(56 - 8 * j)
+    words = _words(text, depth)
     left = np.arange(1, len(order))
     for done in range(0, depth, 8):
         if not len(left):

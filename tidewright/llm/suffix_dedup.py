@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import segments
@@ -24,7 +24,9 @@ from tidewright.llm.suffix_array import adjacent_prefixes, sort_suffixes
 
 LENGTH = 200
 GRAM = 64
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 128 << 10  # what fits a core's cache sorts faster
+TASK_BYTES = 3 << 20
+SEGMENT_BYTES = 64 << 10
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
@@ -83,6 +85,40 @@ def _copies(first: str, last: str):
     return F.explode(F.when(F.col("weight") > 1, F.array(row(first, F.col("weight") - 1), row(last, F.lit(1).cast("long")))).otherwise(once))
 
 
+def _segments(alone: DataFrame) -> DataFrame:
+    """Kinds alone under their anchors, with the segment (seg_anchor, seg_kind) each is part of, from window ``off`` on.
+
+    Runs that follow one another both in the first and in the last document
+    that has them are one segment, of up to about ``SEGMENT_BYTES``.
+    """
+    by_doc = Window.partitionBy("first.key").orderBy("first.start")
+    before = F.lag(F.struct("first", "last")).over(by_doc)
+    follows = (
+        (before["first"]["start"] + before["first"]["n"] == F.col("first.start"))
+        & (before["last"]["key"] == F.col("last.key"))
+        & (before["last"]["start"] + before["last"]["n"] == F.col("last.start"))
+        & (F.floor(before["first"]["start"] / SEGMENT_BYTES) == F.floor(F.col("first.start") / SEGMENT_BYTES))
+    )
+    numbered = alone.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("seg", F.sum("new").over(by_doc))
+    whole = Window.partitionBy("first.key", "seg").orderBy("first.start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.first(F.struct("anchor", "kind", "first", "last")).over(whole)
+    numbered = numbered.withColumn("head", head).withColumn("whole", F.sum("first.n").over(whole).cast("int"))
+    off = F.col("first.start") - F.col("head.first.start")
+    return numbered.select("anchor", "kind", F.col("first.n").alias("n"), off.alias("off"), "head", "whole", F.col("head.anchor").alias("seg_anchor"), F.col("head.kind").alias("seg_kind"))
+
+
+def _wanted(kinds: DataFrame, n: str) -> DataFrame:
+    chosen = kinds.select("anchor", "kind", "hot", F.col(n).alias("windows"), _copies("first", "last").alias("c"))
+    return chosen.select("c.copy.key", "c.copy.start", F.col("windows").alias("n"), "anchor", "kind", "c.mark", "hot")
+
+
+def _parted(flagged: DataFrame, parts: DataFrame) -> DataFrame:
+    """Spans of segments as spans of the kinds that they consist of."""
+    mine = flagged.select(F.col("anchor").alias("seg_anchor"), F.col("kind").alias("seg_kind"), "spans")
+    own = F.transform("spans", lambda s: F.struct(F.greatest(s["a"] - F.col("off"), F.lit(0)).alias("a"), F.least(s["b"] - F.col("off"), F.col("n")).alias("b")))
+    return parts.join(mine, ["seg_anchor", "seg_kind"]).select("anchor", "kind", F.filter(own, lambda s: s["a"] < s["b"]).alias("spans")).filter("size(spans) > 0")
+
+
 def _fold(parts: DataFrame) -> DataFrame:
     kinds = parts.groupBy("anchor", "kind").agg(F.min("n").alias("n"), F.sum("mark").alias("weight"), F.min("text").alias("lo"), F.max("text").alias("hi"))
     return kinds.select("anchor", "kind", "n", _copies("lo", "hi").alias("c")).select("anchor", "kind", "n", "c.mark", F.col("c.copy").alias("text"))
@@ -90,7 +126,7 @@ def _fold(parts: DataFrame) -> DataFrame:
 
 def _judge(length: int):
     def judge(texts: DataFrame, size: int) -> DataFrame:
-        found = segments.by_anchor(texts, [], ARRAY_BYTES, size).mapInArrow(_array_builder(length), "anchor long, kind binary, spans array<struct<a:int,b:int>>")
+        found = segments.by_anchor(texts, [], TASK_BYTES, size).mapInArrow(_array_builder(length), "anchor long, kind binary, spans array<struct<a:int,b:int>>")
         return found.filter("size(spans) > 0").groupBy("anchor", "kind").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     return judge
@@ -140,16 +176,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     place = F.struct("key", "start", "n")
     kinds = stash(runs.groupBy("anchor", "kind").agg(F.count("*").alias("weight"), F.min(place).alias("first"), F.max(place).alias("last")), "suffix-kinds", scratch)
-    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("weight").alias("n")).filter("n > 1")
-    met = stash(met.select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "suffix-met", scratch)
-    wanted = kinds.join(met, "anchor").select("anchor", "kind", "hot", _copies("first", "last").alias("c")).select("c.copy.key", "c.copy.start", "c.copy.n", "anchor", "kind", "c.mark", "hot")
-    wanted = stash(wanted, "suffix-wanted", scratch)
+    met = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("weight").alias("n")).filter("n > 1").select("anchor", "kinds")
+    split = stash(kinds.join(stash(met, "suffix-met", scratch), "anchor"), "suffix-split", scratch)
+    parts = stash(_segments(split.filter("kinds = 1")), "suffix-parts", scratch)
+    whole = parts.filter("off = 0").select("seg_anchor", "seg_kind", "whole", F.col("head.first").alias("first"), F.col("head.last").alias("last")).withColumnsRenamed({"seg_anchor": "anchor", "seg_kind": "kind"})
+    wanted = _wanted(whole.withColumns({"hot": F.lit(False), "weight": F.lit(2).cast("long")}), "whole")
+    wanted = stash(wanted.unionByName(_wanted(split.filter("kinds > 1").withColumn("hot", F.col("kinds") > hot_kinds), "first.n")), "suffix-wanted", scratch)
     size, hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (length - 1))), F.lit(0)), F.count_if("hot")).first()
-    flagged = stash(segments.judged(segments.texts_of(rows, wanted, unit), unit, size, hot > 0, _judge(length), _fold, hot_kinds, scratch), "suffix-flagged")
+    flagged = stash(segments.judged(segments.texts_of(rows, wanted, unit), unit, size, hot > 0, _judge(length), _fold, hot_kinds, scratch), "suffix-judged", scratch)
+    alone = parts.filter("whole > n").select("anchor", "kind")
+    single = flagged.join(alone, ["anchor", "kind"], "left_anti")
+    flagged = stash(single.unionByName(_parted(flagged, parts.filter("whole > n"))), "suffix-flagged")
     for path in scratch:
         drop_path(spark, path)
 
     cuts = segments.ranges_by_document(runs.join(flagged, ["anchor", "kind"]), length)
-    both = rows.withColumnRenamed("key", "k").join(cuts, F.col("k") == F.col("key"), "left").select("id", "text", "cuts")
+    both = rows.withColumnRenamed("key", "k").join(cuts.hint("merge"), F.col("k") == F.col("key"), "left").select("id", "text", "cuts")
     columns = "id long, n_bytes long, n_removed long, n_spans long, " + "kept binary, " * with_kept + "kept_sha256 string"
     return both.mapInArrow(lambda batches: _cut(batches, with_kept), columns).withColumnRenamed("id", id_col)
