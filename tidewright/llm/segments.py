@@ -32,7 +32,7 @@ FILTER_BLOCKS = 32
 MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 27  # of slots, one bit each: 16 MiB at most
 
 #: Kinds of an anchor that one task judges; those of anchors with more are dealt out again.
-HOT_KINDS = 512
+HOT_KINDS = 256
 
 TEXTS = "anchor long, kind binary, n int, mark long, hot boolean, text binary"
 
@@ -185,7 +185,7 @@ def _slicer(unit: Unit):
 def texts_of(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     """TEXTS for ``wanted`` (key, start, n, anchor, kind, mark, hot): a run's bytes, or its words joined by one space."""
     by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "kind", "mark", "hot")).alias("wanted"))
-    return rows.select("key", "text").join(by_doc, "key").select("text", "wanted").mapInArrow(_slicer(unit), TEXTS)
+    return rows.select("key", "text").join(by_doc.hint("merge"), "key").select("text", "wanted").mapInArrow(_slicer(unit), TEXTS)
 
 
 def _refiner(unit: Unit, single: bool):

@@ -150,7 +150,7 @@ class FingerprintIndex:
         hit = runs.join(sources, ["anchor", "kind"]).withColumn("spans", F.filter("spans", lambda s: s["source"] < F.col("id"))).filter("size(spans) > 0")
         cuts = segments.ranges_by_document(hit, unit.window).withColumnRenamed("key", "k")
         columns = "id long, n_words long, n_removed long, " + "kept string, " * with_kept + "kept_sha256 string"
-        both = rows.join(cuts, F.col("key") == F.col("k"), "left").select("id", "text", "cuts")
+        both = rows.join(cuts.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "text", "cuts")
         out = stash(both.mapInArrow(lambda b: _cut(b, with_kept), columns), "window-kept")
 
         anchors = met.count()
