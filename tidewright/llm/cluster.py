@@ -7,9 +7,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -32,6 +36,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside: texts are long, and a batch is held by both the JVM and Python."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before else spark.conf.unset(_BATCH)
+
+
 def stash(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage.
 
@@ -39,7 +54,8 @@ def stash(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import textkit
-from tidewright.llm.cluster import ship, stash
+from tidewright.llm.cluster import ship, small_batches, stash
 from tidewright.llm.components import connected_components
 from tidewright.llm.segments import keyed
 
@@ -150,8 +150,9 @@ def rarity(docs: DataFrame, text_col: str, n: int) -> bytes:
             break
     table = np.zeros((COUNT_BLOCKS, (1 << COUNT_BITS) // COUNT_BLOCKS), np.uint8)
     ranks = counted.select("block", "counts").mapInArrow(_ranks, "block int, rank binary")
-    for r in ranks.collect():
-        table[r["block"]] = np.frombuffer(r["rank"], np.uint8)
+    with small_batches(docs.sparkSession):
+        for r in ranks.collect():
+            table[r["block"]] = np.frombuffer(r["rank"], np.uint8)
     return table.tobytes()
 
 

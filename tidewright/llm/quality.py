@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import textkit
-from tidewright.llm.cluster import ship, stash
+from tidewright.llm.cluster import ship, small_batches, stash
 
 SAMPLE_ROWS = 20_000  # labelled rows that the classifier is fitted on, at most
 FEATURES = ("log_words", "word_length", "distinct", "top_word", "symbols", "digits", "upper", "bars", "lines", "line_repeats", "pair_repeats", "marked_words", "doubled")
@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = known_labels(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     # At most ``sample_rows`` ids: the texts of others move nowhere.
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_y", "_t")
-    made = rows.mapInArrow(_scorer(None), "_y int, made array<double>").collect()
+    with small_batches(docs.sparkSession):
+        made = rows.mapInArrow(_scorer(None), "_y int, made array<double>").collect()
     x = np.array([r["made"] for r in made]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_y"] for r in made], float))
 

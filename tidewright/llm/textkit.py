@@ -38,7 +38,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a root and of its inverse, n of them at least."""
     up, down = _powers.get(which, (np.empty(0, _U), np.empty(0, _U)))
     if len(up) < n:
-        size = max(n + (n >> 3), (1 << 20) + (1 << 17))
+        size = max(n + (n >> 3), 1 << 17)
         root = _ROOTS[which]
         inverse = pow(root, -1, 1 << 64)
         up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size - 1, r, _U)])) for r in (root, inverse))
