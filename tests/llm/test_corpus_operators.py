@@ -133,7 +133,7 @@ def repeats(rows: list[bytes], length: int) -> list[tuple[bytes, int, int]]:
     return out
 
 
-@pytest.mark.parametrize("hot_kinds", [1, 2, 512])
+@pytest.mark.parametrize("hot_kinds", [1, 2, 256])
 def test_suffix_dedup(docs, empty, odd, hot_kinds):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, hot_kinds=hot_kinds).collect()}
     want = dict(zip(texts(), repeats([t.encode() for t in texts().values()], 200), strict=True))
@@ -177,7 +177,7 @@ def seen_windows(rows: list[tuple], window: int) -> dict[int, tuple[int, int, st
     return out
 
 
-@pytest.mark.parametrize(("batches", "hot_kinds"), [(1, 512), (6, 512), (3, 1), (1, 2)])
+@pytest.mark.parametrize(("batches", "hot_kinds"), [(1, 256), (6, 256), (3, 1), (1, 2)])
 def test_substring_index(docs, empty, odd, batches, hot_kinds):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_index.remove_seen_windows(docs, batches=batches, hot_kinds=hot_kinds).collect()}
     assert got == seen_windows(corpus(), 50)

@@ -87,6 +87,12 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE {name}")
         drop_path(self.spark, held["path"])
 
+    def close(self) -> None:
+        """Take this session's names of the index's tables away; the files stay."""
+        for name in self._names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._names = {}
+
     def drop(self) -> None:
         """Delete the index."""
         for held in [*self.texts, *(run for level in self.levels for run in level)]:
