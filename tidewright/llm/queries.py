@@ -95,6 +95,21 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+# Texts as hexadecimal bytes, cut into chunks first so that no slice has to be sought in a long text.
+_OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+chunks AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 1398) AS h FROM (SELECT *, unnest(range(0, n, 500)) AS c FROM d)),
+places AS (SELECT doc_id, c + i AS p, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN c + i + 200 <= n THEN md5(substr(h, 2 * i + 1, 400)) END AS w
+  FROM (SELECT *, unnest(range(0, least(500, n - c))) AS i FROM chunks)),
+twice AS (SELECT w FROM places WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT p.*, t.w IS NOT NULL AS rep FROM places p LEFT JOIN twice t ON p.w = t.w),
+covered AS (SELECT doc_id, p, byte, bool_or(rep) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS edge FROM covered),
+cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (edge) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(coalesce(c.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id"""
+
+
 _OP3_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
@@ -175,6 +190,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": _OP1_SQL,
         "op3_exact_dedup": _OP3_SQL,
         "op4_url_filter": _op4_sql(),
         "op5_ngram_jaccard_join": _op5_sql(),
