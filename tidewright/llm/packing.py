@@ -2,16 +2,21 @@
 
 Texts become token ids once, and pieces of at most ``capacity`` tokens.  How
 many pieces there are of each length is a table of at most ``capacity`` rows
-whatever the input's size; bin completion plans all sequences on it.  Each bin
-starts from the largest length left; undominated fillings of the rest are
-enumerated depth first around the best-fit filling as incumbent and pruned by
-the waste they cannot undercut.  A filling is used as often as its lengths
-last, so the plan has at most ``capacity`` patterns or so.  Pieces then find
-their places by their rank within their length.
+whatever the input's size; bin completion plans all sequences on it.  The
+best-fit plan is the first incumbent, and proven if it meets the lower bound.
+Otherwise plans are searched by branch and bound: each bin starts from the
+largest length left, undominated fillings of the rest are enumerated, the
+plan goes on with the least wasteful and keeps the others as branches, and a
+branch ends where its waste leaves no plan with fewer bins than the incumbent.
+A filling is used as often as its lengths last, so a plan has at most
+``capacity`` patterns or so.  Pieces then find their places by their rank
+within their length.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,13 +32,32 @@ from tidewright.llm.cluster import ship, stash
 CAPACITY = 2048
 SALTS = 1024
 SEARCH_NODES = 400
+BRANCHES = 3  # fillings of a bin that a plan may go on with
+PLAN_STEPS = 1_000  # bins or runs of equal bins completed in the search of one plan, 16 KB each at most
 WORD_CACHE = 600_000  # known words of a worker, 30 bytes or so each
 TEXT_BYTES = 4 << 20
 PARTS_AT_ONCE = 200_000
 
+# The parts that word_bpe_49k splits normalised texts into.
+_WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _tokenizers: dict = {}
 
 
+def splits_at_words(path: str) -> bool:
+    """Whether the tokenizer in ``path`` declares the normalisation and splitting that let ids be found a word at a time."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal, before = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers", [])
+    known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+    parts = before.get("pretokenizers", [])
+    cut = [x["type"] for x in parts] == ["Split", "ByteLevel"] and (parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": _WORD_PARTS}, "Removed", True)
+    plain = cut and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    special = all(t["content"].startswith("<|") and " " not in t["content"] for t in made.get("added_tokens", []))
+    return known and plain and special and not made.get("post_processor") and not made.get("truncation") and not made.get("padding")
+
+
 class WordIds:
     """Token ids of texts, a word at a time, with a bounded table of known words.
 
@@ -41,7 +65,8 @@ class WordIds:
     split runs of letters from punctuation, as word_bpe_49k does: no token and no
     normalisation step crosses an ASCII space or the place between an ASCII
     letter and ASCII punctuation, so the ids of a text are those of its parts in
-    order.  Texts that may hold a special token are only split at spaces.
+    order.  Texts that may hold a special token are only split at spaces.  With
+    any other tokenizer a text is one part, and none is remembered.
     """
 
     def __init__(self, path: str):
@@ -49,6 +74,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_word = splits_at_words(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -66,6 +94,10 @@ class WordIds:
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all parts in the table of known words, and the texts' offsets in them."""
+        if not self.by_word:
+            self._forget()
+            self._learn(texts.cast(pa.large_string()))
+            return np.arange(len(texts)), np.arange(len(texts) + 1)
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z])([!-/:-@\[-`{-~])", replacement=r"\1 \2")
         parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
@@ -169,41 +201,43 @@ def _dominated(groups: tuple, spare: int) -> bool:
     return False
 
 
-def complete_bin(counts: np.ndarray, room: int, most: int, nodes: int = SEARCH_NODES, spent: list[int] | None = None) -> list[tuple[int, int]]:
-    """The filling of ``room`` with least waste, by depth-first branch and bound.
+def fillings(counts: np.ndarray, room: int, most: int, keep: int = 1, nodes: int = SEARCH_NODES, spent: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The ``keep`` fillings of ``room`` with least waste, as (waste, filling), by depth-first branch and bound.
 
     Starts from the best-fit filling.  Lengths go downwards and each is tried
     from as many as fit to none.  A filling is dominated, and its branch ends,
     if a piece that it leaves out could replace smaller ones of it and waste
     that it is sure to have: the exchange wastes no more.  A branch also ends
-    where what is left of all lengths cannot make up less waste than the
-    incumbent, and the search at a filling without waste or after ``nodes``
-    nodes, with the incumbent.  ``spent`` gets the number of nodes.
+    where what is left of all lengths cannot make up less waste than the worst
+    kept, and the search where no kept filling has waste or after ``nodes``
+    nodes, with what it has.  ``spent`` gets the number of nodes.
     """
-    best = best_fit(counts, room, most)
-    waste = room - sum(a * n for a, n in best)
+    first = best_fit(counts, room, most)
+    kept = [(room - sum(a * n for a, n in first), first)]
     lengths = np.flatnonzero(counts[: min(most, room) + 1])[::-1]
     lengths = lengths[lengths > 0].tolist()
-    if not waste or not lengths:
+    if not lengths or (keep == 1 and not kept[0][0]):
         if spent is not None:
             spent.append(0)
-        return best
+        return kept
     mass = np.concatenate([np.cumsum([a * int(counts[a]) for a in reversed(lengths)])[::-1], [0]]).tolist()
     smallest, left = lengths[-1], nodes
     # Groups (out, sums), as sets of bits: lengths left out since a choice, and what pieces chosen since then can add up to.
-    stack = [(0, room, (), ((0, 1),))]
+    stack = [(0, room, (), ((0, 1),), True)]
     while stack and left > 0:
-        i, rest, chosen, groups = stack.pop()
+        i, rest, chosen, groups, grew = stack.pop()
         left -= 1
-        if rest < waste:
-            best, waste = list(chosen), rest
-            if not waste:
+        worst = kept[-1][0] if len(kept) == keep else room + 1
+        if grew and rest < worst and list(chosen) != first:
+            kept = sorted([*kept, (rest, list(chosen))], key=lambda x: x[0])[:keep]
+            worst = kept[-1][0] if len(kept) == keep else room + 1
+            if not worst:
                 break
         out, sums = groups[-1]
         while i < len(lengths) and lengths[i] > rest:
             out |= 1 << lengths[i]
             i += 1
-        if i == len(lengths) or rest < smallest or rest - min(mass[i], rest) >= waste:
+        if i == len(lengths) or rest < smallest or rest - min(mass[i], rest) >= worst:
             continue
         a = lengths[i]
         groups = (*groups[:-1], (out, sums))
@@ -219,33 +253,104 @@ def complete_bin(counts: np.ndarray, room: int, most: int, nodes: int = SEARCH_N
             if n < counts[a]:
                 after = (*after[:-1], (after[-1][0] | 1 << a, after[-1][1]))
             if not _dominated(after, max(0, rest - n * a - mass[i + 1])):
-                stack.append((i + 1, rest - n * a, (*chosen, (a, n)) if n else chosen, after))
+                stack.append((i + 1, rest - n * a, (*chosen, (a, n)) if n else chosen, after, n > 0))
     if spent is not None:
         spent.append(nodes - left)
+    return kept
+
+
+def complete_bin(counts: np.ndarray, room: int, most: int, nodes: int = SEARCH_NODES, spent: list[int] | None = None) -> list[tuple[int, int]]:
+    """The filling of ``room`` with least waste."""
+    return fillings(counts, room, most, 1, nodes, spent)[0][1]
+
+
+def fewest_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins: for each k, pieces over capacity - k share a bin with none of length k or more, and those over half with no other such."""
+    many = np.cumsum(counts).tolist()  # pieces of a length or less, and what they add up to
+    held = np.cumsum(counts * np.arange(len(counts))).tolist()
+    half, best = capacity // 2, 0
+    for k in range(half + 1):
+        cut = capacity - k
+        over, taken = many[cut] - many[half], held[cut] - held[half]
+        small = held[half] - (held[k - 1] if k else 0)
+        best = max(best, many[capacity] - many[cut] + over + max(0, -(-(small - (over * capacity - taken)) // capacity)))
     return best
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(times, [(length, count), ...]) patterns that use up all ``counts``."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out, most = [], capacity
-    while True:
-        while most and not left[most]:
-            most -= 1
-        if not most:
-            return out
+def _best_fit_plan(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    left, out, most = counts.copy(), [], capacity
+    while most := _longest(left, most):
         left[most] -= 1
-        inside = complete_bin(left, capacity - most, most)
+        inside = best_fit(left, capacity - most, most)
         left[most] += 1
-        need: dict[int, int] = {most: 1}
-        for a, n in inside:
-            need[a] = need.get(a, 0) + n
-        times = min(int(left[a]) // n for a, n in need.items())
-        for a, n in need.items():
-            left[a] -= times * n
-        out.append((times, sorted(need.items(), reverse=True)))
+        out.append(_apply(left, most, inside))
+    return out
+
+
+def _longest(left: np.ndarray, most: int) -> int:
+    while most and not left[most]:
+        most -= 1
+    return most
+
+
+def _apply(left: np.ndarray, most: int, inside: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """Fill as many bins with ``most`` and ``inside`` as ``left`` allows, and take their pieces from it."""
+    need: dict[int, int] = {most: 1}
+    for a, n in inside:
+        need[a] = need.get(a, 0) + n
+    times = min(int(left[a]) // n for a, n in need.items())
+    for a, n in need.items():
+        left[a] -= times * n
+    return times, sorted(need.items(), reverse=True)
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int = PLAN_STEPS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(times, [(length, count), ...]) patterns that use up all ``counts``, in as few bins as found.
+
+    Branch and bound over bins.  The best-fit plan is the first incumbent and
+    the search ends, proven, once the incumbent meets ``fewest_bins``.  Plans
+    with fewer departures from the least wasteful filling come first; among
+    these, those that depart at an earlier bin.  A plan ends where its waste
+    leaves no room for fewer bins than the incumbent's, and the search, without
+    proof, after ``steps`` steps.  The first plan is always finished.
+    """
+    whole = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        whole[length] = n
+    best = _best_fit_plan(whole, capacity)
+    bins = sum(times for times, _ in best)
+    area = sum(length * n for length, n in counts.items())
+    least = fewest_bins(whole, capacity)
+    # (departures, bins so far, a number against ties, table, plan as nested pairs, waste, filling to go on with)
+    heap: list = [(0, 0, 0, whole, None, 0, None)]
+    made = 1
+    while heap and bins > least and steps > 0:
+        departed, used, _, table, plan, waste, inside = heapq.heappop(heap)
+        left, most = table.copy(), capacity
+        while most := _longest(left, most):
+            if waste > (bins - 1) * capacity - area:
+                break
+            if inside is None:
+                left[most] -= 1
+                found = fillings(left, capacity - most, most, BRANCHES)
+                left[most] += 1
+                steps -= 1
+                for more, (_, other) in enumerate(found[1:], 1):
+                    if steps > 0:
+                        heapq.heappush(heap, (departed + more, used, made, left.copy(), plan, waste, other))
+                        made += 1
+                inside = found[0][1]
+            spare = capacity - most - sum(a * n for a, n in inside)
+            pattern = _apply(left, most, inside)
+            inside, plan, used, waste = None, (pattern, plan), used + pattern[0], waste + pattern[0] * spare
+        else:
+            if used < bins:
+                bins, best = used, []
+                while plan:
+                    best.append(plan[0])
+                    plan = plan[1]
+                best.reverse()
+    return best
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
