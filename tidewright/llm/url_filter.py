@@ -76,22 +76,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .groupBy(F.concat("host", "path").alias("key"))
         .agg(F.first("host").alias("h"), F.first("path").alias("p"), F.max("action").alias("action"))
     )
-    # Shapes are pairs of small numbers, bounded by the longest URL, not by the list.
-    shapes = listed.select(F.size(F.split("h", r"\.")).alias("labels"), F.length("p").alias("n")).distinct().collect()
+    # Path lengths by number of host labels: bounded by the longest listed URL, not by the list, and read as one row.
+    shapes = listed.groupBy(F.size(F.split("h", r"\.")).alias("labels")).agg(F.collect_set(F.length("p")).alias("lengths"))
+    shapes = shapes.agg(F.map_from_entries(F.collect_list(F.struct("labels", "lengths"))).alias("shapes")).scalar()
     blocks = min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS_PER_BLOCK))))
     words = bloom_words(listed, "key", blocks).scalar()
 
     host, path = F.col("host"), F.col("path")
-    candidates = [
-        F.when(
-            (F.size(F.split(host, r"\.")) >= s["labels"]) & (F.length(path) >= s["n"]),
-            F.concat(F.substring_index(host, ".", -s["labels"]), F.substring(path, 1, s["n"])),
-        )
-        for s in shapes
-    ]
+    end = lambda labels: F.array_join(F.slice("parts", F.size("parts") - labels + 1, labels), ".")
+    fitting = lambda labels: F.filter(F.element_at("shapes", labels), lambda n: n <= F.length(path))
+    made = lambda labels: F.transform(fitting(labels), lambda n: F.concat(end(labels), F.substring(path, F.lit(1), n)))
     base = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), canonical_host(F.col(url_col)).alias("host"), canonical_path(F.col(url_col)).alias("path"))
-    possible = F.array_compact(F.array(*candidates)) if candidates else F.array().cast("array<string>")
-    tested = base.withColumn("words", words).withColumn("possible", F.filter(possible, lambda k: _might_hold(F.col("words"), k, blocks))).drop("words")
+    cut = base.withColumns({"parts": F.split("host", r"\."), "shapes": shapes, "words": words})
+    candidates = F.flatten(F.transform(F.filter(F.map_keys("shapes"), lambda labels: labels <= F.size("parts")), made))
+    tested = cut.withColumn("possible", F.filter(candidates, lambda k: _might_hold(F.col("words"), k, blocks))).drop("words", "shapes", "parts")
     hits = tested.select("row", "id", "host", "path", F.explode_outer("possible").alias("key")).join(listed, "key", "left")
     best = F.max_by(F.struct("key", "action"), F.when(F.col("action").isNotNull(), F.struct(F.length("key"), F.length("h"))))
     return (
