@@ -10,11 +10,13 @@ _ready: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where that is unset, in local mode."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _ready:
         if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
         _ready.add(app)
     return df.checkpoint()

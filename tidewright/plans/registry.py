@@ -431,12 +431,12 @@ def nearest_graph_node(spark, sf):
 
 
 _PATHS = """WITH both_ways AS (SELECT a, b, w FROM net UNION ALL SELECT b, a, w FROM net),
-walk(source, node, dist, path) AS (SELECT id, id, 0e0, [id] FROM places WHERE id % 12 = 0 UNION ALL SELECT k.source, e.b, k.dist + e.w, list_append(k.path, e.b) FROM walk k JOIN both_ways e ON e.a = k.node WHERE NOT list_contains(k.path, e.b)),
+walk(source, node, dist, path) AS (SELECT id, id, 0e0, [id] FROM places UNION ALL SELECT k.source, e.b, k.dist + e.w, list_append(k.path, e.b) FROM walk k JOIN both_ways e ON e.a = k.node WHERE NOT list_contains(k.path, e.b)),
 best AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY ALL) """
 
 
 def _reached(spark, sf) -> DataFrame:
-    return graph.shortest_paths(_nodes(spark, sf).filter("node % 12 = 0").select(F.col("node").alias("source")), derived(spark, sf, "net"))
+    return graph.shortest_paths(_nodes(spark, sf).select(F.col("node").alias("source")), derived(spark, sf, "net"))
 
 
 @query(_PATHS + "SELECT source, node, dist FROM best", "net", "places", recursive=True)
@@ -565,9 +565,9 @@ def near_place_pairs(spark, sf):
     return spatial.within(derived(spark, sf, "places").select("id", F.col("gx").alias("x"), F.col("gy").alias("y")), priority.GROUP_REACH_M)
 
 
-@query("SELECT k, CAST(floor((k - 1) / 50e0) AS BIGINT) AS r, CAST((k - 1) % 50 AS BIGINT) AS c, round(CAST(CAST(80e0 + ((k - 1) % 50) * (0.3e0 / 49) AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(13.2e0 - floor((k - 1) / 50e0) * (0.2e0 / 199) AS FLOAT) AS DOUBLE), 5) AS y FROM cells WHERE k >= 1", "cells")
+@query("SELECT k, CAST(floor(k / 50e0) AS BIGINT) AS r, CAST(k % 50 AS BIGINT) AS c, round(CAST(CAST(80e0 + (k % 50) * (0.3e0 / 49) AS FLOAT) AS DOUBLE), 5) AS x, round(CAST(CAST(13.2e0 - floor(k / 50e0) * (0.2e0 / 199) AS FLOAT) AS DOUBLE), 5) AS y FROM cells", "cells")
 def cell_sample_points(spark, sf):
-    cells = derived(spark, sf, "cells").filter("k >= 1").select("k", grid.row_col(F.col("k"), WIDTH).alias("at")).select("k", "at.r", "at.c")
+    cells = derived(spark, sf, "cells").select("k", grid.row_col(F.col("k") + 1, WIDTH).alias("at")).select("k", "at.r", "at.c")
     p = grid.sample_point(F.col("r"), F.col("c"), WIDTH, 200, 80.0, 13.0, 80.3, 13.2)
     return cells.select("k", "r", "c", _r(p["x"].cast("double"), 5).alias("x"), _r(p["y"].cast("double"), 5).alias("y"))
 
