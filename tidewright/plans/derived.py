@@ -50,12 +50,12 @@ SELECT o_orderkey AS road_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '
   o_totalprice / 7e0 AS length_m, CAST(o_custkey % 101 AS DOUBLE) / 100e0 AS ratio,
   CASE o_orderkey % 6 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'VERY_HIGH' ELSE 'MODERATE' END AS class
 FROM {orders}""",
-    # Chains of twelve nodes with some shortcuts: many components, several paths.
+    # 25 networks that grow with the table: in each, place q (from 0) is linked to place q / 2 and place q / 5, so there are many paths and few hops.
     "net": """
-SELECT c_custkey AS a, c_custkey + s AS b, CAST(1 + (c_custkey * 7919 + s * 31) % 9 AS DOUBLE) * s AS w, CAST(100 + (c_custkey * 13) % 400 AS DOUBLE) AS length_m,
-  CASE WHEN c_custkey % 4 = 0 THEN 'primary' WHEN c_custkey % 4 = 1 THEN NULL ELSE 'service' END AS highway, CAST(c_custkey % 10 AS DOUBLE) / 10e0 AS risk, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS flooded
-FROM {customer} CROSS JOIN (VALUES (1), (3)) AS steps(s)
-WHERE floor(c_custkey / 12e0) = floor((c_custkey + s) / 12e0) AND (s = 1 OR c_custkey % 4 = 0) AND c_custkey % 12 <> 7 AND c_custkey + s <= (SELECT max(c_custkey) FROM {customer})""",
+SELECT CAST(25 * floor(q / d) AS BIGINT) + r + 1 AS a, 25 * q + r + 1 AS b, CAST((1 + (q * 7919 + r * 31 + d) % 9) * d AS DOUBLE) AS w, CAST(100 + (q * 13 + r) % 400 AS DOUBLE) AS length_m,
+  CASE WHEN q % 4 = 0 THEN 'primary' WHEN q % 4 = 1 THEN NULL ELSE 'service' END AS highway, CAST((q * 17 + r) % 97 AS DOUBLE) / 97e0 AS risk, CAST(CASE WHEN q % 3 = 0 THEN 1 ELSE 0 END AS INT) AS flooded
+FROM (SELECT CAST(floor((c_custkey - 1) / 25e0) AS BIGINT) AS q, CAST((c_custkey - 1) % 25 AS BIGINT) AS r FROM {customer}) AS n CROSS JOIN (VALUES (2e0), (5e0)) AS links(d)
+WHERE floor(q / d) < q AND (d = 2 OR floor(q / 5e0) < floor(q / 2e0))""",
     "labelled": """
 SELECT l.doc_id, l.quality AS y, CAST(d.n_chars % 200 AS DOUBLE) / 199e0 AS score FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
 }

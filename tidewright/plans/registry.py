@@ -414,7 +414,12 @@ def _nodes(spark, sf) -> DataFrame:
     return derived(spark, sf, "places").select(F.col("id").alias("node"))
 
 
-@query("WITH both_ways AS (SELECT a, b FROM net UNION SELECT b, a FROM net), reach(node, root) AS (SELECT id, id FROM places UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node) SELECT node, min(root) AS component FROM reach GROUP BY node", "net", "places", recursive=True)
+_COMPONENTS = """WITH both_ways AS (SELECT a, b FROM net UNION SELECT b, a FROM net),
+reach(node, root) AS (SELECT id, id FROM places UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node),
+found AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+
+
+@query(_COMPONENTS + " SELECT node, component FROM found", "net", "places", recursive=True)
 def graph_components(spark, sf):
     return graph.components(_nodes(spark, sf), derived(spark, sf, "net"))
 
@@ -430,18 +435,18 @@ def nearest_graph_node(spark, sf):
     return found.select(F.col("id").alias("place_id"), F.col("target_id").alias("node"))
 
 
-_PATHS = """WITH both_ways AS (SELECT a, b, w FROM net UNION ALL SELECT b, a, w FROM net),
-walk(source, node, dist, path) AS (SELECT id, id, 0e0, [id] FROM places UNION ALL SELECT k.source, e.b, k.dist + e.w, list_append(k.path, e.b) FROM walk k JOIN both_ways e ON e.a = k.node WHERE NOT list_contains(k.path, e.b)),
-best AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY ALL) """
-
-
-def _reached(spark, sf) -> DataFrame:
-    return graph.shortest_paths(_nodes(spark, sf).select(F.col("node").alias("source")), derived(spark, sf, "net"))
+# Each round keeps the best distance by one hop more; 64 rounds are more than any shortest path of ``net`` has hops at the scale of the check.
+_PATHS = _COMPONENTS + """, links AS (SELECT a, b, w FROM net UNION ALL SELECT b, a, w FROM net),
+walk(hops, source, node, dist) AS (SELECT 0, component, component, 0e0 FROM (SELECT DISTINCT component FROM found) AS c
+UNION ALL SELECT hops + 1, source, node, min(dist) FROM (SELECT hops, source, node, dist FROM walk UNION ALL SELECT k.hops, k.source, e.b, k.dist + e.w FROM walk k JOIN links e ON e.a = k.node) AS steps WHERE hops < 64 GROUP BY hops, source, node)"""
 
 
-@query(_PATHS + "SELECT source, node, dist FROM best", "net", "places", recursive=True)
+@query(_PATHS + " SELECT source, node, dist FROM walk WHERE hops = 64", "net", "places", recursive=True)
 def shortest_path(spark, sf):
-    return _reached(spark, sf).select("source", "node", "dist")
+    """From each component's least node to all of its nodes: as many rows as nodes."""
+    edges = derived(spark, sf, "net")
+    sources = graph.components(_nodes(spark, sf), edges).select(F.col("component").alias("source")).distinct()
+    return graph.shortest_paths(sources, edges).select("source", "node", "dist")
 
 
 def _road_edges(spark, sf) -> DataFrame:
@@ -472,11 +477,15 @@ def road_shortest_path(spark, sf):
     return graph.shortest_paths(near.select(F.col("target_id").alias("source")), _road_edges(spark, sf)).select("source", "node", "dist")
 
 
-@query(f"""WITH hops AS (SELECT id AS route, unnest(range(id - id % 12, id)) AS a FROM places),
-m AS (SELECT route, sum(length_m) AS l, sum(length_m / 1000 / (CASE coalesce(highway, 'tertiary') WHEN 'primary' THEN 50e0 WHEN 'tertiary' THEN 35e0 ELSE 20e0 END * CASE flooded WHEN 1 THEN 0.75e0 ELSE 1e0 END) * 60) AS t, sum(length_m * risk) AS lr, sum(flooded) AS f FROM hops JOIN net USING (a) WHERE net.b = net.a + 1 GROUP BY route)
+@query(f"""WITH up AS (SELECT id AS route, (id - 1) // 25 AS q, (id - 1) % 25 AS r, unnest(range(0, 62)) AS h FROM places),
+hops AS (SELECT route, 25 * (q >> (h + 1)) + r + 1 AS a, 25 * (q >> h) + r + 1 AS b FROM up WHERE (q >> h) > 0),
+m AS (SELECT route, sum(length_m) AS l, sum(length_m / 1000 / (CASE coalesce(highway, 'tertiary') WHEN 'primary' THEN 50e0 WHEN 'tertiary' THEN 35e0 ELSE 20e0 END * CASE flooded WHEN 1 THEN 0.75e0 ELSE 1e0 END) * 60) AS t, sum(length_m * risk) AS lr, sum(flooded) AS f FROM hops JOIN net USING (a, b) GROUP BY route)
 SELECT id AS route, round(coalesce(l, 0e0), 6) AS length_m, round(coalesce(lr / l, 0e0), 6) AS risk, round(coalesce(t, 0e0), 6) AS minutes, CAST(coalesce(f, 0) AS BIGINT) AS flooded_edges FROM places LEFT JOIN m ON m.route = id""", "net", "places")
 def path_metrics(spark, sf):
-    routes = _nodes(spark, sf).select(F.col("node").alias("route"), F.sequence(F.col("node") - F.col("node") % 12, F.col("node")).alias("path"))
+    """Of the routes from the first place of a network to each of its places, by halving."""
+    q = F.floor((F.col("node") - 1) / 25)
+    halves = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda h: F.call_function("shiftright", q, h) * 25 + (F.col("node") - 1) % 25 + 1))
+    routes = _nodes(spark, sf).select(F.col("node").alias("route"), F.reverse(halves).alias("path"))
     m = graph.path_metrics(routes, derived(spark, sf, "net"))
     return m.select("route", *(_r(F.col(c)).alias(c) for c in ("length_m", "risk", "minutes")), "flooded_edges")
 
