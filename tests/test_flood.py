@@ -127,6 +127,9 @@ def test_vector_pipeline(spark):
     assert lines["RT000001"] == [(80.2, 13.05), (80.22, 13.06), (80.23, 13.08)]
     zone = out["response_zones"].collect()
     assert [(z["zone_id"], z["priority_class"], z["n_places"], z["teams"], z["base_id"], z["zone_risk"]) for z in zone] == [("Z000001", "CRITICAL", 2, 3, "B000001", 0.87)]
+    (drawn,) = out["zone_polygons"].collect()
+    assert (drawn["zone_id"], drawn["ring"], len(drawn["line"])) == ("Z000001", 0, 81)  # points of the golden ring
+    assert min((p["x"], p["y"]) for p in drawn["line"]) == pytest.approx((80.21194125568498, 13.074930689247033), abs=1e-8)  # its westernmost point
 
 
 def test_priority_edge_cases(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import geo, hydro
 from tidewright.functions.storage import cut
-from tidewright.operators import graph, priority, spatial
+from tidewright.operators import graph, outline, priority, spatial
 
 ROUTED = ("CRITICAL", "HIGH", "MEDIUM")
 
@@ -70,11 +70,21 @@ def routes(nodes: DataFrame, edges: DataFrame, bases: DataFrame, ranked: DataFra
     return out.select("route", "from_id", F.col("id").alias("to_id"), hydro.py_round(F.col("length_m") / 1000, 2).alias("distance_km"), hydro.py_round(F.col("risk"), 2).alias("risk"), hydro.py_round(F.col("minutes"), 1).alias("minutes"), "flooded_edges", "path")
 
 
-def response_zones(ranked: DataFrame, found: DataFrame, bases: DataFrame) -> DataFrame:
-    """Groups of exposed places with class, teams, nearest base, rounded risk and centroid."""
+def zone_members(ranked: DataFrame) -> DataFrame:
+    """Exposed places, each with its group."""
     exposed = ranked.filter(F.col("exposure") >= priority.EXPOSED_FROM)
     spots = exposed.select(F.col("ord").cast("long").alias("id"), "place_id", F.col("q.x").alias("x"), F.col("q.y").alias("y"), "exposure", "priority_score", "priority_class")
-    members = cut(spots.join(priority.groups(spots.select("id", "x", "y")), "id"))
+    return cut(spots.join(priority.groups(spots.select("id", "x", "y")), "id"))
+
+
+def zone_polygons(zones: DataFrame, members: DataFrame) -> DataFrame:
+    """(zone_id, ring, area, line): each zone's outline in lon/lat, ring 0 the outer one, with the area in square metres."""
+    drawn = outline.outlines(members)
+    return zones.select("zone_id", "group").join(drawn, "group").select("zone_id", "ring", "area", F.transform("points", lambda p: geo.lon_lat(p["x"], p["y"])).alias("line"))
+
+
+def response_zones(members: DataFrame, found: DataFrame, bases: DataFrame) -> DataFrame:
+    """Groups of exposed places with class, teams, nearest base, rounded risk and centroid."""
     served = found.join(members.select(F.col("place_id").alias("to_id"), "id"), "to_id")
     summary = cut(priority.group_summary(members, served.select(F.col("id").alias("to_id"), "risk")))
     flat = bases.select("base_id", "ord", geo.utm(F.col("p.x"), F.col("p.y")).alias("q")).select("base_id", "ord", "q.x", "q.y")
@@ -90,4 +100,6 @@ def run(roads: DataFrame, zones: DataFrame, places: DataFrame, bases: DataFrame)
     ranked = cut(priorities(places, zones))
     nodes, edges = map(cut, network(exposed))
     found = cut(routes(nodes, edges, bases, ranked))
-    return {"affected_roads": affected, "exposed_roads": exposed, "priority_places": ranked, "nodes": nodes, "edges": edges, "routes": found, "response_zones": response_zones(ranked, found, bases)}
+    members = zone_members(ranked)
+    zones_found = cut(response_zones(members, found, bases))
+    return {"affected_roads": affected, "exposed_roads": exposed, "priority_places": ranked, "nodes": nodes, "edges": edges, "routes": found, "response_zones": zones_found, "zone_polygons": zone_polygons(zones_found, members)}
