@@ -99,7 +99,7 @@ def path_metrics(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """(route, length_m, risk, minutes, flooded_edges) for routes (route, path) over edges (a, b, length_m, highway, risk, flooded); missing edges are skipped."""
     steps = routes.select("route", F.explode(F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")))).alias("e")).select("route", "e.a", "e.b")
     speed = lookup(F.coalesce("highway", F.lit("tertiary")), SPEED_KMH, DEFAULT_SPEED) * F.when(F.col("flooded") == 1, FLOODED_SPEED).otherwise(1.0)
-    sums = steps.join(edges, ["a", "b"]).groupBy("route").agg(
+    sums = steps.join(edges.hint("merge"), ["a", "b"]).groupBy("route").agg(  # steps are many more than their table's size tells: never broadcast
         F.sum("length_m").alias("length_m"),
         F.sum(F.col("length_m") / 1000 / speed * 60).alias("minutes"),
         F.sum(F.col("length_m") * F.col("risk")).alias("lr"),
@@ -117,7 +117,7 @@ def primary_base(bases: DataFrame) -> DataFrame:
 def route_lines(routes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(route, line) in lon/lat for routes (route, path) of two nodes or more; nodes are (node, x, y) in UTM."""
     steps = routes.filter(F.size("path") >= 2).select("route", F.posexplode("path").alias("pos", "node"))
-    placed = steps.join(nodes, "node").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("pts"))
+    placed = steps.join(nodes.hint("merge"), "node").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("pts"))
     return placed.select("route", F.transform("pts", lambda p: geo.lon_lat(p["x"], p["y"])).alias("line"))
 
 
