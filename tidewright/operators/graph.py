@@ -51,10 +51,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = cut(nodes.select("node", F.col("node").alias("label")))
     while True:
-        heard = both.join(now.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        moved = now.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        heard = both.join(now.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        moved = now.join(heard.hint("merge"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(moved.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")))
+        new = cut(moved.join(jump.hint("merge"), "label", "left").select("node", "old", F.least("label", "further").alias("label")))
         if new.filter("label <> old").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         now = new.select("node", "label")
