@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from tidewright.functions import geo
-from tidewright.functions.storage import cut
+from tidewright.functions.storage import cut, cut_round
+from tidewright.operators import relax
 
 # Fixed values.
 SPEED_KMH = {"primary": 50.0, "secondary": 40.0, "tertiary": 35.0, "residential": 30.0, "service": 20.0}
 DEFAULT_SPEED = 30.0
 HAZARD = {"SAFE": 1.0, "LOW": 1.5, "MEDIUM": 2.5, "HIGH": 5.0, "VERY_HIGH": 10.0}
 FLOODED_SPEED = 0.75
+BLOCK_ARCS = 1 << 21  # some 100 MB in a task
 
 
 def lookup(key: Column, table: dict, default) -> Column:
@@ -30,6 +36,14 @@ def node_key(p: Column) -> Column:
     return F.format_string("%.3f,%.3f", p["x"], p["y"])
 
 
+def node_place(node: Column) -> Column:
+    """A node_key's number along a Z-curve over cells of 100 m."""
+    at = F.split(node, ",")
+    cell = lambda v: F.least(F.greatest(F.floor(v.cast("double") / 100) + (1 << 20), F.lit(0)), F.lit((1 << 21) - 1))
+    spread = lambda v: F.conv(F.bin(cell(v)), 4, 10).cast("long")  # noqa: E731  binary digits read to base 4 have a zero between each two
+    return spread(at[0]) + 2 * spread(at[1])
+
+
 def road_segments(roads: DataFrame) -> DataFrame:
     """Segments of roads (line_id, line, cost, ...): seg, u, v, seg_length_m and the road's cost by share of length; zero lengths skipped."""
     whole = roads.withColumn("total", geo.length(F.col("line")))
@@ -54,32 +68,53 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         heard = both.join(now.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("heard"))
         moved = now.join(heard.hint("merge"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(moved.join(jump.hint("merge"), "label", "left").select("node", "old", F.least("label", "further").alias("label")))
+        new = cut_round(moved.join(jump.hint("merge"), "label", "left").select("node", "old", F.least("label", "further").alias("label")))
         if new.filter("label <> old").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         now = new.select("node", "label")
 
 
-def shortest_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, node, dist, pred) of all nodes that a source reaches, for edges (a, b, w) with w >= 0.
+def distances(sources: DataFrame, edges: DataFrame, place: Callable[[Column], Column] | None = None, block_arcs: int = BLOCK_ARCS) -> DataFrame:
+    """(source, node, dist) of all nodes that a source reaches, for edges (a, b, w) with w >= 0.
 
-    Frontier relaxation: only nodes whose distance fell look further in the
-    next round.  Equal distances keep the smaller predecessor.
+    Nodes lie in blocks of about ``block_arcs`` arcs (one node's arcs stay together), in the
+    order of ``place``, which gives nodes that are near to each other near numbers; without it, of a hash.
+    A round lets each block that was offered shorter ways relax until nothing in it gets
+    shorter, and hands what leaves it to other blocks: rounds grow with the blocks on a path, not with its hops.
     """
-    both = cut(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["source"].dataType).alias("pred")))
-    front = best
-    while not front.isEmpty():
-        steps = front.select("source", F.col("node").alias("a"), "dist").join(both, "a").select("source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").alias("pred"))
-        offered = steps.groupBy("source", "node").agg(F.min(F.struct("dist", "pred")).alias("o"))
-        merged = cut(best.join(offered, ["source", "node"], "full"))
-        better = F.col("dist").isNull() | (F.col("o.dist") < F.col("dist")) | ((F.col("o.dist") == F.col("dist")) & (F.col("o.pred") < F.col("pred")))
-        gained = F.col("o").isNotNull() & better
-        pick = lambda new, old: F.when(gained, F.col(new)).otherwise(F.col(old))
-        best_new = merged.select("source", "node", pick("o.dist", "dist").alias("dist"), pick("o.pred", "pred").alias("pred"))
-        front = cut(merged.filter(gained & (F.col("dist").isNull() | (F.col("o.dist") < F.col("dist")))).select("source", "node", F.col("o.dist").alias("dist")))
-        best = best_new
-    return best
+    key = place or F.xxhash64
+    edges = cut(edges.filter("a is not null and b is not null and w is not null").select("a", "b", "w", key(F.col("a")).alias("at"), key(F.col("b")).alias("to")))
+    starts = cut(sources.filter("source is not null").select("source", key(F.col("source")).alias("at")).distinct())
+    n = max(1, -(-2 * edges.count() // block_arcs))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", F.col("to").alias("at"), F.col("at").alias("to")))
+    borders = sorted(set(both.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    block = lambda at: F.size(F.filter(F.array(*map(F.lit, borders)), lambda e: e < F.col(at))) if borders else F.lit(0)
+    rows = both.select(block("at").alias("block"), "a", block("to").alias("to"), "b", "w")
+    rows = rows.unionByName(starts.select(block("at").alias("block"), F.col("source").alias("a")), allowMissingColumns=True)
+    arcs = cut(rows.groupBy("block").applyInArrow(relax.packed, "block int, arcs binary"))
+    kind = sources.schema["source"].dataType
+    schema = StructType([StructField("block", IntegerType()), StructField("source", kind), StructField("node", kind), StructField("dist", DoubleType()), StructField("state", BinaryType())])
+    now = cut(starts.select(block("at").alias("block"), "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("binary").alias("state")))
+    while active := [r["block"] for r in now.filter("state is null").select("block").distinct().collect()]:
+        best = now.filter("state is null").groupBy("block", "source", "node").agg(F.min("dist").alias("dist"))
+        offers = best.groupBy("block").agg(F.collect_list(F.struct("source", "node", "dist")).alias("offers"))
+        states = now.filter("state is not null")
+        turn = F.col("block").isin(active)
+        held = arcs.filter(turn).hint("merge").join(offers, "block").join(states.filter(turn).select("block", "state").hint("merge"), "block", "left")
+        moved = held.select("block", "arcs", "offers", "state").mapInArrow(relax.relaxer(to_arrow_schema(schema)), schema)
+        now = cut_round(moved.unionByName(states.filter(~turn)))
+    reached = StructType(schema.fields[1:4])
+    return arcs.hint("merge").join(now.select("block", "state"), "block").select("arcs", "state").mapInArrow(relax.lister(to_arrow_schema(reached)), reached)
+
+
+def shortest_paths(sources: DataFrame, edges: DataFrame, place: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(source, node, dist, pred) as in ``distances``; of equal ways the smaller predecessor counts."""
+    edges = cut(edges.select("a", "b", "w"))
+    reached = cut(distances(sources, edges, place))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    steps = reached.select("source", F.col("node").alias("a"), F.col("dist").alias("d")).hint("merge").join(both, "a").select("source", F.col("b").alias("node"), (F.col("d") + F.col("w")).alias("dist"), F.col("a").alias("pred"))
+    preds = steps.filter("node <> source").groupBy("source", "node", "dist").agg(F.min("pred").alias("pred"))
+    return reached.hint("merge").join(preds, ["source", "node", "dist"], "left").select("source", "node", "dist", "pred")
 
 
 def paths(reached: DataFrame, targets: DataFrame) -> DataFrame:
