@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import hydro
+from tidewright.functions.storage import cut
 
 # Fixed values.
 TREES, DEPTH, SEED = 100, 12, 42
@@ -25,12 +26,22 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("w", w)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Features and y in as many partitions as there are cores, read once, in an order of their own.
+
+    Every pass of the fit goes over all partitions; those of the files may be
+    one, and its draws follow the partitions and the order in them.
+    """
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns).sortWithinPartitions(*df.columns)
+    return cut(spread.select(*hydro.FEATURES, "y"))
+
+
 def fit(df: DataFrame, trees: int = TREES, depth: int = DEPTH, bins: int = 128) -> PipelineModel:
     missing = [c for c in [*hydro.FEATURES, "y"] if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     forest = RandomForestClassifier(labelCol="y", featuresCol="features", weightCol="w", numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt", maxBins=bins)
-    return Pipeline(stages=[VectorAssembler(inputCols=hydro.FEATURES, outputCol="features"), forest]).fit(balanced(df))
+    return Pipeline(stages=[VectorAssembler(inputCols=hydro.FEATURES, outputCol="features"), forest]).fit(balanced(dealt(df)))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
