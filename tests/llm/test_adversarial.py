@@ -60,6 +60,29 @@ def test_index_in_separate_calls(spark, tmp_path):
     assert spark.sql("SHOW TABLES").filter("tableName LIKE 'tidewright_%'").isEmpty()
 
 
+def test_batches_on_top_of_an_index(spark, tmp_path):
+    rows = corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    index = substring_index.FingerprintIndex(spark, f"{tmp_path}/index")
+    parts = [index.add(docs.filter("doc_id <= 9"), with_kept=False), index.add_each(docs.filter("doc_id > 9"), [10, 12, 13, 19], with_kept=False)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for part in parts for r in part.collect()}
+    assert got == seen_windows(rows, 50)
+    assert [len(level) for level in index.levels] == [0, 2]
+    index.drop()
+
+
+def test_batches_of_a_table_are_verified_together(spark):
+    """Each further batch costs its run, its look-up and its share of compaction, not another pass over the texts."""
+    docs = spark.createDataFrame([r[:2] for r in corpus()], "doc_id long, text string")
+    jobs = {}
+    for batches in (1, 5):
+        spark.sparkContext.setJobGroup(f"op8-{batches}", "")
+        substring_index.remove_seen_windows(docs, batches=batches).collect()
+        jobs[batches] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"op8-{batches}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[5] - jobs[1] <= 8 * 4, jobs
+
+
 def test_slices_and_segments(spark):
     """Texts and copies longer than a slice, a segment and an array."""
     r = random.Random(8)

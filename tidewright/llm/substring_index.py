@@ -2,13 +2,14 @@
 
 The index is a set of immutable runs, sorted tables of window fingerprints (the
 anchor hashes of runs of windows), beside tables that say where the windows
-under each first occurred, and the texts themselves.  A batch of new documents is
+under each occur, and the texts themselves.  A batch of new documents is
 merge-joined with the runs to find the fingerprints that were seen before.
 Windows under those are verified: runs of them with one 128-bit BLAKE2b digest
 have the same words, and of runs that differ every window is compared word by
-word.  Then the batch becomes a run of its own, and every ``FAN_IN`` runs of a level are
-compacted into one of the next.  An index stays in its folder and can be opened
-again for the next batch.
+word.  The batch becomes a run of its own, and every ``FAN_IN`` runs of a level are
+compacted into one of the next.  Batches that are at hand together are looked up and
+made runs one after another, and verified once for all.  An index stays in its folder
+and can be opened again for the next batch.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import segments, textkit
-from tidewright.llm.cluster import drop_path, fresh_path, ship, stash
+from tidewright.llm.cluster import drop_path, fresh_path, ship, small_batches, stash
 
 WINDOW = 50
 GRAM = 16
@@ -35,7 +36,7 @@ BUCKET_BYTES = 16 << 20
 BUCKET_ROWS = 500_000
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
-_TEXTS, _ANCHORS, _PLACES = "key long, id long, text string", "anchor long", "anchor long, kind binary, part int, key long, start int, n int"
+_TEXTS, _ANCHORS, _PLACES = "key long, id long, text string", "anchor long", "anchor long, kind binary, key long, start int, n int"
 
 
 class FingerprintIndex:
@@ -118,27 +119,48 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
         """Judge and append a batch; one row per row of it: id, n_words, n_removed, kept (if asked for), kept_sha256."""
+        return self.add_each(docs, [], id_col, text_col, with_kept)
+
+    def add_each(self, docs: DataFrame, edges: list[int], id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+        """The rows of ``add`` for each of the batches that ``edges`` (ascending ids, the last of a batch each) cut ``docs`` into.
+
+        Each batch is met with the runs before it and becomes a run of its own.
+        The windows so found are verified together, so texts, old ones too, are read once for all batches.
+        """
         spark, unit, scratch, part = self.spark, self.unit, [], len(self.texts)
         keyed = segments.keyed(docs, id_col, text_col, scratch)
         held = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         stored = self._write(keyed, "texts", "key", max(8, -(-held // BUCKET_BYTES)))
         rows = self._table(stored, _TEXTS, "key")
         ranked = rows.select("key", F.coalesce("id", F.lit(MOST)).alias("id"), "text")
-        runs = stash(segments.runs(ranked, unit), "window-runs", scratch)
-        first = F.min(F.struct("id", F.lit(part).alias("part"), "key", "start", "n")).alias("first")
-        fresh = stash(runs.groupBy("anchor", "kind").agg(first, F.max("id").alias("hi")), "window-fresh", scratch)
-        met = stash(fresh.groupBy("anchor").agg(F.min("first.id").alias("lo"), F.max("hi").alias("hi")), "window-met", scratch)
-        found = met.filter("lo <> hi").select("anchor")
-        for level in self.levels:
-            for run in level:
-                found = found.unionByName(met.select("anchor").join(self._table(run, _ANCHORS, "anchor"), "anchor", "left_semi"))
+        places = f"{self.path}/places-{uuid.uuid4().hex}"
+        with small_batches(spark):
+            segments.runs(ranked, unit).write.parquet(places)
+        runs = spark.read.schema(f"{_PLACES}, id long").parquet(places)
+        batch = F.lit(0)
+        for edge in edges:
+            batch = batch + (F.col("id") > edge).cast("int")
+        met = runs.groupBy(batch.alias("batch"), "anchor").agg((F.min("id") != F.max("id")).alias("twice"))
+        met = stash(met, "window-met", scratch)
+        found, superseded = met.filter("twice").select("anchor"), []
+        counts = dict(map(tuple, met.groupBy("batch").count().collect()))
+        if not self.levels:
+            self.levels.append([])
+        for i in range(len(edges) + 1):
+            mine = met.filter(F.col("batch") == i).select("anchor")
+            for level in self.levels:
+                for run in level:
+                    found = found.unionByName(mine.join(self._table(run, _ANCHORS, "anchor"), "anchor", "left_semi"))
+            self.levels[0].append(self._write(mine, "run", "anchor", max(8, -(-counts.get(i, 0) // BUCKET_ROWS))))
+            superseded += self._compact()
         found = stash(found.distinct(), "window-found", scratch)
 
-        place = F.struct("part", "key", "start", "n")
-        now = fresh.join(found, "anchor", "left_semi").select("anchor", "kind", F.struct(F.col("first.id").alias("mark"), F.struct("first.part", "first.key", "first.start", "first.n").alias("place")).alias("first"))
-        for path in self.places:
+        place = lambda i: F.struct(F.lit(i).alias("part"), "key", "start", "n").alias("place")
+        live = stash(runs.join(found, "anchor", "left_semi"), "window-live", scratch)
+        now = live.select("anchor", "kind", F.struct(F.col("id").alias("mark"), place(part)).alias("first"))
+        for i, path in enumerate(self.places):
             old = spark.read.schema(_PLACES).parquet(path).join(found, "anchor", "left_semi")
-            now = now.unionByName(old.select("anchor", "kind", F.struct(F.lit(LEAST).alias("mark"), place.alias("place")).alias("first")))
+            now = now.unionByName(old.select("anchor", "kind", F.struct(F.lit(LEAST).alias("mark"), place(i)).alias("first")))
         kinds = stash(now.groupBy("anchor", "kind").agg(F.min("first").alias("first")), "window-kinds", scratch)
         many = stash(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "window-many", scratch)
         split = kinds.join(many, "anchor").select("anchor", "kind", "first.mark", "first.place.*", "kinds")
@@ -153,21 +175,14 @@ class FingerprintIndex:
         verified = segments.judged(texts, unit, size, hot > 0, _judge(unit.window), _fold, self.hot_kinds, scratch)
         sources = stash(verified.unionByName(alone), "window-sources", scratch)
 
-        hit = runs.join(sources, ["anchor", "kind"]).withColumn("spans", F.filter("spans", lambda s: s["source"] < F.col("id"))).filter("size(spans) > 0")
+        hit = live.join(sources, ["anchor", "kind"]).withColumn("spans", F.filter("spans", lambda s: s["source"] < F.col("id"))).filter("size(spans) > 0")
         cuts = segments.ranges_by_document(hit, unit.window).withColumnRenamed("key", "k")
         columns = "id long, n_words long, n_removed long, " + "kept string, " * with_kept + "kept_sha256 string"
         both = rows.join(cuts.hint("merge"), F.col("key") == F.col("k"), "left").select("id", "text", "cuts")
         out = stash(both.mapInArrow(lambda b: _cut(b, with_kept), columns), "window-kept")
 
-        anchors = met.count()
-        places = f"{self.path}/places-{uuid.uuid4().hex}"
-        fresh.select("anchor", "kind", "first.part", "first.key", "first.start", "first.n").write.parquet(places)
         self.texts.append(stored)
         self.places.append(places)
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(met.select("anchor"), "run", "anchor", max(8, -(-anchors // BUCKET_ROWS))))
-        superseded = self._compact()
         self._save()
         for run in superseded:
             self._forget(run)
@@ -245,8 +260,9 @@ def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of anything but ASCII white space, unchanged.  A word goes if
     a window of ``window`` consecutive words that covers it also starts in a
     document with a smaller id.  Windows are judged on the input.  Documents
-    come in ``batches`` batches of ascending ids, each added to an index of
-    those before it, which is deleted at the end.  Null and empty texts have no
+    come in ``batches`` batches of ascending ids, each met with and added to an
+    index of those before it, which is deleted at the end; what was met is
+    verified for all batches together.  Null and empty texts have no
     words; ids are integers, a null one counts as 2^63-1; rows that share an id
     are no history of each other; an empty table gives an empty result; other
     columns are not read.  A text is worked on in one task, in some hundred
@@ -258,15 +274,6 @@ def remove_seen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rank = F.coalesce(F.col(id_col), F.lit(MOST))
     shares = [i / batches for i in range(1, batches)]
     found_at = rows.agg(F.percentile_approx(rank, shares, 1000)).first()[0] if shares else None
-    edges = [None, *sorted(set(found_at or [])), None]
-    out = None
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = rows
-        if lo is not None:
-            part = part.filter(rank > lo)
-        if hi is not None:
-            part = part.filter(rank <= hi)
-        judged = index.add(part, id_col, text_col, with_kept)
-        out = judged if out is None else out.unionByName(judged)
+    out = index.add_each(rows, sorted(set(found_at or [])), id_col, text_col, with_kept)
     index.drop()
     return out
