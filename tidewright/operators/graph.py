@@ -11,7 +11,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 
 from tidewright.functions import geo
 from tidewright.functions.storage import cut, cut_round
-from tidewright.operators import relax
+from tidewright.operators import relax, stars
 
 # Fixed values.
 SPEED_KMH = {"primary": 50.0, "secondary": 40.0, "tertiary": 35.0, "residential": 30.0, "service": 20.0}
@@ -19,6 +19,7 @@ DEFAULT_SPEED = 30.0
 HAZARD = {"SAFE": 1.0, "LOW": 1.5, "MEDIUM": 2.5, "HIGH": 5.0, "VERY_HIGH": 10.0}
 FLOODED_SPEED = 0.75
 BLOCK_ARCS = 1 << 21  # some 100 MB in a task
+JOIN_SIDES = (800.0, 6400.0, 51200.0)  # of the squares in which links are joined, one after another
 
 
 def lookup(key: Column, table: dict, default) -> Column:
@@ -60,6 +61,22 @@ def simple_edges(segments: DataFrame, order: list[str], attributes: list[str]) -
     return ends.groupBy("a", "b").agg(F.max_by(F.struct(*attributes), o).alias("last"), F.min(o).alias("place"), F.count("*").alias("parallel")).select("a", "b", "place", "parallel", "last.*")
 
 
+def road_links(lines: DataFrame) -> DataFrame:
+    """(ax, ay, bx, by): the two ends of each segment of lines (line); zero lengths skipped."""
+    ends = lines.select(F.explode(geo.segments(F.col("line"))).alias("e")).filter(geo.distance(F.col("e.p"), F.col("e.q")) > 0)
+    return ends.select(F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
+
+
+def joined_links(links: DataFrame) -> DataFrame:
+    """Few links (ax, ay, bx, by) that join the same places: those of a square meet in one task, which leaves one for each place but a component's first.
+
+    What goes on grows with the places, not with the roads between them.
+    """
+    for side in JOIN_SIDES:
+        links = links.repartition(F.floor(F.col("ax") / side), F.floor(F.col("ay") / side)).mapInArrow(stars.joined, "ax double, ay double, bx double, by double")
+    return links
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the component's least node; labels move along edges and then jump to their label's label."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
